@@ -67,9 +67,8 @@ def links(docs: DataFrame) -> DataFrame:
 
 def link_texts(docs: DataFrame) -> DataFrame:
     """As :func:`links`, with the words shown for each link."""
-    segments = F.transform(
-        F.slice(F.split("html", P.ANCHOR_START), 2, 2**31 - 1), lambda s: F.concat(F.lit(" "), s)
-    )
+    pieces = F.filter(F.split("html", P.ANCHOR_START), lambda s, i: i > 0)
+    segments = F.transform(pieces, lambda s: F.concat(F.lit(" "), s))
     anchors = F.transform(
         segments,
         lambda s: F.struct(

@@ -9,6 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DOC_NAME = r"\.html?$"
+FEW_SPLITS = 8
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core some documents where a small table comes in a few splits.
+
+    Text extraction is heavy per row, and one parquet row group is read by one
+    task. A table of more than ``FEW_SPLITS`` splits is left as it is, so at
+    most that many splits (1 GB with Spark's split size) are ever moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores, "doc_id") if splits < cores and splits <= FEW_SPLITS else df
 
 
 def read_docs(spark: SparkSession, path: str, glob: str = "*.htm*") -> DataFrame:
@@ -25,12 +38,12 @@ def read_docs(spark: SparkSession, path: str, glob: str = "*.htm*") -> DataFrame
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """A parquet table ``page_id, url, html`` as ``doc_id, html``."""
-    return spark.read.parquet(path).select(F.col("page_id").alias("doc_id"), "html")
+    return spread(spark.read.parquet(path).select(F.col("page_id").alias("doc_id"), "html"))
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """A parquet table of plain documents as ``doc_id, text``."""
-    return spark.read.parquet(path).select("doc_id", "text")
+    return spread(spark.read.parquet(path).select("doc_id", "text"))
 
 
 def write_docs(
