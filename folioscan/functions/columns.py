@@ -52,6 +52,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, P.SPACES), lambda w: w != "")
 
 
+def count_words(squeezed: Column) -> Column:
+    """Words of a text that :func:`squeeze` has been through: its spaces and one."""
+    spaces = F.length(squeezed) - F.length(F.replace(squeezed, F.lit(" "), F.lit("")))
+    return F.when(squeezed == "", 0).otherwise(spaces + 1)
+
+
 def decimal_amount(text: Column) -> Column:
     """``1.250,50`` as a decimal; NULL where it does not fit."""
     plain = F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))

@@ -15,11 +15,11 @@ from folioscan.functions import patterns as P
 from folioscan.functions.columns import (
     all_matches,
     attribute,
+    count_words,
     decimal_amount,
     squeeze,
     unquote,
     visible_text as visible_text_of,
-    words,
 )
 
 
@@ -102,18 +102,17 @@ def text_stats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_chars`` of the visible text."""
     return visible_text(docs).select(
         "doc_id",
-        F.size(words(F.col("text"))).alias("n_words"),
+        count_words(F.col("text")).alias("n_words"),
         F.length("text").alias("n_chars"),
     )
 
 
 def stats_by_language(docs: DataFrame) -> DataFrame:
     """``lang, n_docs, avg_words, max_words``; counted per task before the shuffle."""
-    per_doc = docs.select(
-        lang_of(F.col("html")).alias("lang"),
-        F.size(words(visible_text_of(F.col("html")))).alias("n_words"),
-    )
-    return per_doc.groupBy("lang").agg(
+    html = F.col("html")
+    texts = docs.select(lang_of(html).alias("lang"), visible_text_of(html).alias("text"))
+    counted = texts.select("lang", count_words(F.col("text")).alias("n_words"))
+    return counted.groupBy("lang").agg(
         F.count("*").alias("n_docs"),
         F.round(F.avg("n_words"), 4).alias("avg_words"),
         F.max("n_words").alias("max_words"),

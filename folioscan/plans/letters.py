@@ -8,6 +8,8 @@ and builds the same text in the engine the results are checked with.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ from folioscan.functions import patterns as P
 from folioscan.operators import audit, extract, links, markup, render
 from folioscan.plans import query as q
 from folioscan.plans.query import Query
-from folioscan.sources.files import spread
+from folioscan.session import shared_folder
+from folioscan.sources.files import read_docs, spread
 
 TITLE = (
     "CASE WHEN doc_id % 11 = 0 THEN '' "
@@ -97,6 +100,13 @@ def sends(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The letters, written as one file each to the shared folder and read back."""
+    path = f"{shared_folder(spark)}/folioscan-{uuid.uuid4().hex}/letters"
+    letters(spark, sf_dir).write.partitionBy("doc_id").text(path)
+    return read_docs(spark, path, glob="*.txt", name=r"/doc_id=(\d+)/")
+
+
 IMAGES_SQL = f"""
     SELECT doc_id, pos, {', '.join(f"{q.unquoted(q.extract('tag', P.attribute(a)))} AS {a}"
                                    for a in ('src', 'alt', 'width'))}
@@ -164,6 +174,10 @@ RENDER_SQL = f"""
       ON doc_id = CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_custkey END"""
 
 QUERIES = {
+    # The text sink ends each row with a line break.
+    "read_docs": Query(
+        files, f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, html || chr(10) AS html FROM {LETTERS}"
+    ),
     "preheader": Query(
         lambda s, d: extract.preheader(letters(s, d)),
         f"""SELECT doc_id, {q.squeezed(f"regexp_replace({q.extract('html', P.HIDDEN_DIV)}, {q.lit(P.TAG)}, ' ', 'g')")}

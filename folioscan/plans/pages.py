@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +28,6 @@ def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus with its titles, written by language to the shared folder and read back."""
-    import uuid
-
     path = f"{shared_folder(spark)}/folioscan-{uuid.uuid4().hex}/pages_by_lang"
     write_docs(extract.doc_metadata(pages(spark, sf_dir)), path, by="lang")
     return spark.read.parquet(path).select("doc_id", "title", "lang")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DOC_NAME = r"\.html?$"
+FILE_NAME = r"([^/]+?)(?:\.html?)?$"
 FEW_SPLITS = 8
 
 
@@ -24,15 +24,23 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores, "doc_id") if splits < cores and splits <= FEW_SPLITS else df
 
 
-def read_docs(spark: SparkSession, path: str, glob: str = "*.htm*") -> DataFrame:
-    """A folder of HTML files as ``doc_id, html``; the id is the file name without ending.
+def read_docs(
+    spark: SparkSession, path: str, glob: str = "*.htm*", name: str = FILE_NAME
+) -> DataFrame:
+    """A folder tree of HTML files as ``doc_id, html``.
 
-    One file is one row and cannot be split, so a corpus of many small files is
-    better rewritten once with :func:`write_docs`.
+    ``name`` is a pattern over the path of a file; its first group is the id, by
+    default the file name without its ending. One file is one row and cannot be
+    split, so a corpus of many small files is better rewritten once with
+    :func:`write_docs`. Spark skips files of no bytes.
     """
-    return spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True).select(
-        F.regexp_replace("_metadata.file_name", DOC_NAME, "").alias("doc_id"),
-        F.col("value").alias("html"),
+    files = spark.read.text(
+        path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True
+    )
+    # The path comes percent-encoded, with plus signs as they are.
+    path = F.try_url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    return files.select(
+        F.regexp_extract(path, name, 1).alias("doc_id"), F.col("value").alias("html")
     )
 
 

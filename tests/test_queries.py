@@ -1,0 +1,81 @@
+"""Every registered query against its SQL, and the plans that matter at scale."""
+
+from __future__ import annotations
+
+import re
+
+import pytest
+
+import __spark_entry__ as entry_points
+from folioscan.operators import extract, markup
+from folioscan.plans import ALL
+from folioscan.plans.pages import pages
+from tests.oracle import connect, differences
+
+
+@pytest.fixture(scope="module")
+def con(sf_dir):
+    return connect(sf_dir)
+
+
+@pytest.mark.parametrize("name", ALL)
+def test_query_equals_its_sql(spark, con, sf_dir, name):
+    said, rows = differences(spark, con, name, sf_dir)
+    assert said == []
+    assert rows > 0
+
+
+def test_entry_points(spark):
+    assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
+    assert entry_points.entry(spark).columns == ["url", "n_docs"]
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ALL)
+def test_no_python_and_no_cross_join(spark, sf_dir, name):
+    if name in ("near_duplicates", "version_family", "revision_diff", "line_changes"):
+        pytest.skip("runs jobs of its own; see the test below")
+    plan = plan_of(ALL[name].run(spark, sf_dir))
+    assert not re.search("Python|Pandas|CartesianProduct|BroadcastNestedLoop", plan)
+
+
+def test_staged_plans_hold_no_python_and_no_cross_join(spark, sf_dir, monkeypatch):
+    from folioscan.operators import dedup
+
+    plans = []
+    write = dedup.staged
+    monkeypatch.setattr(dedup, "staged", lambda df, name: plans.append(plan_of(df)) or write(df, name))
+    plans.append(plan_of(ALL["version_family"].run(spark, sf_dir)))
+    assert len(plans) > 5
+    assert not re.search("Python|Pandas|CartesianProduct|BroadcastNestedLoop", "\n".join(plans))
+
+
+def large_pages(spark, sf_dir):
+    """Pages as a large table would come: without the spreading of small inputs."""
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("page_id AS doc_id", "html")
+
+
+@pytest.mark.parametrize(
+    "operator, exchanges",
+    [
+        (extract.links, 0),
+        (extract.visible_text, 0),
+        (lambda docs: markup.nesting_depth(docs, "p"), 0),
+        (markup.unused_classes, 0),
+        (markup.tag_histogram, 1),
+        (extract.stats_by_language, 1),
+    ],
+)
+def test_shuffles(spark, sf_dir, operator, exchanges):
+    plan = plan_of(operator(large_pages(spark, sf_dir)))
+    assert len(re.findall(r"\bExchange\b", plan)) == exchanges
+
+
+def test_only_needed_columns_are_read(spark, sf_dir):
+    assert "ReadSchema: struct<html:string>" in plan_of(markup.tag_histogram(pages(spark, sf_dir)))
+    plan = plan_of(ALL["followup_audience"].run(spark, sf_dir))
+    assert "EqualTo(event_type,view)" in plan
+    assert "ReadSchema: struct<user_id:bigint,event_type:string>" in plan
