@@ -11,9 +11,12 @@ def revision_diff(texts: DataFrame, a: object, b: object) -> DataFrame:
 
     The two ids reach the scan as a filter.
     """
-    pair = texts.sparkSession.range(1).select(F.lit(a).alias("a"), F.lit(b).alias("b"))
-    two = texts.where(F.col("doc_id").isin(a, b))
-    return revision_diffs(two, pair).select("line", "side", "text")
+    doc = F.col("doc_id")
+    both = texts.where(doc.isin(a, b)).agg(
+        F.max(F.when(doc == a, F.col("text"))).alias("text_a"),
+        F.max(F.when(doc == b, F.col("text"))).alias("text_b"),
+    )
+    return _differing_lines(both, [])
 
 
 def revision_diffs(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -22,8 +25,12 @@ def revision_diffs(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     ``side`` is a or b; ``line`` counts from 0. Both texts of a pair meet in one
     row and are compared there, so lines are never shuffled.
     """
+    return _differing_lines(_paired(texts, pairs), ["a", "b"])
+
+
+def _differing_lines(paired: DataFrame, keys: list[str]) -> DataFrame:
     lines = F.arrays_zip(_lines("text_a").alias("a"), _lines("text_b").alias("b"))
-    numbered = _paired(texts, pairs).select("a", "b", F.posexplode(lines).alias("line", "at"))
+    numbered = paired.select(*keys, F.posexplode(lines).alias("line", "at"))
     changed = numbered.where(~F.col("at.a").eqNullSafe(F.col("at.b")))
     sides = F.filter(
         F.array(
@@ -32,7 +39,7 @@ def revision_diffs(texts: DataFrame, pairs: DataFrame) -> DataFrame:
         ),
         lambda s: s["text"].isNotNull(),
     )
-    return changed.select("a", "b", "line", F.inline(sides))
+    return changed.select(*keys, "line", F.inline(sides))
 
 
 def line_changes(texts: DataFrame, pairs: DataFrame) -> DataFrame:

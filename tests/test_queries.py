@@ -7,9 +7,9 @@ import re
 import pytest
 
 import __spark_entry__ as entry_points
-from folioscan.operators import extract, markup
+from folioscan.operators import dedup, diff, extract, markup
 from folioscan.plans import ALL
-from folioscan.plans.pages import pages
+from folioscan.plans.texts import texts
 from tests.oracle import connect, differences
 
 
@@ -43,13 +43,17 @@ def test_no_python_and_no_cross_join(spark, sf_dir, name):
 
 
 def test_staged_plans_hold_no_python_and_no_cross_join(spark, sf_dir, monkeypatch):
-    from folioscan.operators import dedup
-
     plans = []
     write = dedup.staged
     monkeypatch.setattr(dedup, "staged", lambda df, name: plans.append(plan_of(df)) or write(df, name))
-    plans.append(plan_of(ALL["version_family"].run(spark, sf_dir)))
-    assert len(plans) > 5
+    docs = texts(spark, sf_dir)
+    links = dedup.near_duplicates(docs, bucket_rows=2)
+    plans.append(plan_of(links))
+    plans.append(plan_of(dedup.version_family(links)))
+    plans.append(plan_of(diff.revision_diffs(docs, links)))
+    plans.append(plan_of(diff.line_changes(docs, links)))
+    plans.append(plan_of(diff.revision_diff(docs, 0, 1)))
+    assert len(plans) > 15
     assert not re.search("Python|Pandas|CartesianProduct|BroadcastNestedLoop", "\n".join(plans))
 
 
@@ -75,7 +79,7 @@ def test_shuffles(spark, sf_dir, operator, exchanges):
 
 
 def test_only_needed_columns_are_read(spark, sf_dir):
-    assert "ReadSchema: struct<html:string>" in plan_of(markup.tag_histogram(pages(spark, sf_dir)))
+    assert "ReadSchema: struct<html:string>" in plan_of(markup.tag_histogram(large_pages(spark, sf_dir)))
     plan = plan_of(ALL["followup_audience"].run(spark, sf_dir))
     assert "EqualTo(event_type,view)" in plan
     assert "ReadSchema: struct<user_id:bigint,event_type:string>" in plan
