@@ -47,7 +47,7 @@ def test_staged_plans_hold_no_python_and_no_cross_join(spark, sf_dir, monkeypatc
     write = dedup.staged
     monkeypatch.setattr(dedup, "staged", lambda df, name: plans.append(plan_of(df)) or write(df, name))
     docs = texts(spark, sf_dir)
-    links = dedup.near_duplicates(docs, bucket_rows=2)
+    links = dedup.near_duplicates(docs, bucket_rows=1)
     plans.append(plan_of(links))
     plans.append(plan_of(dedup.version_family(links)))
     plans.append(plan_of(diff.revision_diffs(docs, links)))
