@@ -3,6 +3,7 @@
 Fixed values, stated as text. Every pattern stays inside the common ground of
 Java regex and RE2 (no look-around, no back-references), so the same pattern
 gives the same answer in Spark and in the SQL the results are checked against.
+Nothing repeats a group with alternatives, which Java matches by recursion.
 """
 
 from __future__ import annotations
@@ -35,12 +36,13 @@ MERGE_TAG = r"\{\{\s*([A-Za-z_][A-Za-z0-9_.]*)\s*\}\}"
 UNSUBSCRIBE_TAG = r"\{\{\s*unsubscribe_url\s*\}\}"
 
 # Visible text: what is not shown goes first, then every remaining tag. All
-# branches share their first character, so other text is passed over quickly.
+# branches share their first character, so other text is passed over quickly. A
+# "<" before anything but a letter or one of "/!?" is text, as in HTML.
 NOT_SHOWN = (
     r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>"
-    r"|title\b.*?</title\s*>|[^>]*>)"
+    r"|title\b.*?</title\s*>|[a-z/!?][^>]*>)"
 )
-TAG = r"<[^>]*>"
+TAG = r"<[A-Za-z/!?][^>]*>"
 SPACES = r"\s+"
 
 # Links.
@@ -49,10 +51,10 @@ HOST = r"^\s*(?:https?:)?//(?:[^/?#@]*@)?([^/?#:\s]+)"
 MAIL_SUBJECT = r"(?i)[?&;]subject=([^&#]*)"
 
 # Amounts are written with a decimal comma and a dot between thousands.
-AMOUNT = r"(\d[\d.]*(?:,\d+)?)"
-EURO = r"(?:\s|&nbsp;)*(?:€|&euro;)"
+AMOUNT = r"\b(\d[\d.]*(?:,\d+)?)"
+EURO = r"\s*(?:&nbsp;\s*)?(?:€|&euro;)"
 PRICE = AMOUNT + EURO
-PACK_PRICE = r"(\d+) páginas (?:por|=) " + AMOUNT + EURO + r"(?: \(" + AMOUNT + EURO + r"/)?"
+PACK_PRICE = r"\b(\d+) páginas (?:por|=) " + AMOUNT + EURO + r"(?: \(" + AMOUNT + EURO + r"/)?"
 
 # Labels of a before/after pair of links.
 BEFORE_LABEL = "Antes"

@@ -8,8 +8,6 @@ and builds the same text in the engine the results are checked with.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +15,7 @@ from folioscan.functions import patterns as P
 from folioscan.operators import audit, extract, links, markup, render
 from folioscan.plans import query as q
 from folioscan.plans.query import Query
-from folioscan.session import shared_folder
+from folioscan.session import scratch_path
 from folioscan.sources.files import read_docs, spread
 
 TITLE = (
@@ -102,7 +100,7 @@ def sends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The letters, written as one file each to the shared folder and read back."""
-    path = f"{shared_folder(spark)}/folioscan-{uuid.uuid4().hex}/letters"
+    path = scratch_path(spark, "letters")
     letters(spark, sf_dir).write.partitionBy("doc_id").text(path)
     return read_docs(spark, path, glob="*.txt", name=r"/doc_id=(\d+)/")
 

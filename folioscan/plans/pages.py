@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from folioscan.functions import patterns as P
 from folioscan.operators import extract, links, markup
 from folioscan.plans import query as q
 from folioscan.plans.query import Query
-from folioscan.session import shared_folder
+from folioscan.session import scratch_path
 from folioscan.sources import read_pages, write_docs
 
 PAGES = "(SELECT page_id AS doc_id, html FROM pages)"
@@ -28,7 +26,7 @@ def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus with its titles, written by language to the shared folder and read back."""
-    path = f"{shared_folder(spark)}/folioscan-{uuid.uuid4().hex}/pages_by_lang"
+    path = scratch_path(spark, "pages_by_lang")
     write_docs(extract.doc_metadata(pages(spark, sf_dir)), path, by="lang")
     return spark.read.parquet(path).select("doc_id", "title", "lang")
 

@@ -40,12 +40,21 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, under the id of the application.
+
+    Results are read from staged tables until they are consumed, so nothing is
+    deleted here; the folder of an application can go once it has ended.
+    """
+    return f"{shared_folder(spark)}/folioscan-{spark.conf.get('spark.app.id')}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table.
 
     This cuts the lineage: a lost executor costs a re-read, not a recomputation,
     and later uses read only the columns they need.
     """
-    path = f"{shared_folder(df.sparkSession)}/folioscan-{uuid.uuid4().hex}/{name}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -166,3 +166,12 @@ def test_metadata_drift(mails):
     assert rows(audit.metadata_drift(mails), "doc_id", "subject", "title") == [
         ("same_text", "Ven a vernos", "Otra")
     ]
+
+
+def test_text_with_angle_brackets_and_long_runs(spark):
+    html = "<p>2 < 3 > 1</p>" + "<" * 20000 + "7" + " " * 20000 + "5 €" + "1" * 20000
+    docs = spark.createDataFrame([(1, html)], "doc_id long, html string")
+    (text,) = extract.visible_text(docs).collect()
+    assert text.text == "2 < 3 > 1 " + "<" * 20000 + "7 5 €" + "1" * 20000
+    (price,) = extract.prices(docs).collect()
+    assert price.amount == Decimal("5.00")
