@@ -85,15 +85,17 @@ def occurrences(values: Column) -> Column:
 def shingles(text: Column, k: int) -> Column:
     """Distinct k-word shingles of lower-cased text, each as a 64-bit hash.
 
-    Texts of fewer than k words give an empty array.
+    Words are hashed first and shingles made of their hashes, which spares
+    building a string per shingle. Texts of fewer than k words give an empty
+    array.
     """
 
-    def of_words(w: Column) -> Column:
-        starts = F.when(F.size(w) >= k, F.sequence(F.lit(1), F.size(w) - (k - 1))).otherwise(
+    def of_hashes(h: Column) -> Column:
+        starts = F.when(F.size(h) >= k, F.sequence(F.lit(0), F.size(h) - k)).otherwise(
             F.array().cast("array<int>")
         )
         return F.array_distinct(
-            F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(w, i, k), " ")))
+            F.transform(starts, lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(k))))
         )
 
-    return let(words(F.lower(text)), of_words)
+    return let(F.transform(words(F.lower(text)), lambda w: F.xxhash64(w)), of_hashes)

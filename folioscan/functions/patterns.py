@@ -26,7 +26,8 @@ FIRST_COMMENT = r"(?s)<!--(.*?)-->"
 COMMENT_SUBJECT = r"ASUNTO:[ \t]*([^\n\r]*)"
 COMMENT_PREHEADER = r"PREHEADER:[ \t]*([^\n\r]*)"
 TAG_NAME = r"<([A-Za-z][A-Za-z0-9]*)"
-COLOUR = r"(?:^|[^&])(#[0-9a-fA-F]{6})\b"
+# Group 1 stays empty for a character reference such as "&#128512;".
+COLOUR = r"&#|(#[0-9a-fA-F]{6})\b"
 FONT_STACK = r"""(?i)font-family\s*:\s*([^;"{}]+)"""
 STYLE_BLOCK = r"(?is)<style\b[^>]*>(.*?)</style\s*>"
 CSS_NOISE = r"(?s)/\*.*?\*/|@import[^;]*;|\{[^{}]*\}"

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.session import staged
+
 
 def followup_audience(accounts: DataFrame, opens: DataFrame, key: str, by: str) -> DataFrame:
     """Accounts with at least one open; ``key`` of accounts is ``by`` of opens."""
@@ -26,12 +28,20 @@ def suppress(accounts: DataFrame, opt_outs: DataFrame, key: str, by: str) -> Dat
 def first_offer_only(offers: DataFrame, served: DataFrame) -> DataFrame:
     """``account_id, offered_at, offer_id``: the first offer of each account never served.
 
-    ``offers(account_id, offered_at, offer_id)``, ``served(account_id)``. The
-    first offer is a minimum, not a sorted window, so no task holds all offers
-    of an account.
+    ``offers(account_id, offered_at, offer_id)``, ``served(account_id)``. Both
+    tables go through one aggregation by account, combined per task. A sorted
+    window would gather all offers of an account in one task, and so would an
+    anti-join, which the optimizer moves below the aggregation.
     """
-    first = offers.groupBy("account_id").agg(F.min(F.struct("offered_at", "offer_id")).alias("first"))
-    waiting = first.join(served.select("account_id").distinct(), "account_id", "left_anti")
+    rows = offers.select(
+        "account_id", F.struct("offered_at", "offer_id").alias("offer"), F.lit(False).alias("served")
+    ).unionByName(
+        served.select("account_id", F.lit(True).alias("served")), allowMissingColumns=True
+    )
+    accounts = rows.groupBy("account_id").agg(
+        F.min("offer").alias("first"), F.bool_or("served").alias("served")
+    )
+    waiting = accounts.where(~F.col("served") & F.col("first").isNotNull())
     return waiting.select("account_id", "first.offered_at", "first.offer_id")
 
 
@@ -59,12 +69,17 @@ def reply_within(contacts: DataFrame, replies: DataFrame, hours: int) -> DataFra
     """``user_id, contacted_at, replied_at`` of users who reply soon after their first contact.
 
     Both inputs are ``(user_id, ts)``. The reply is the first one later than the
-    contact, and counts if it comes within ``hours``. Contacts are one row per
-    user by the time they are joined.
+    contact, and counts if it comes within ``hours``. The first contacts, one
+    row per user, are staged: with both sides of the join straight from a
+    shuffle, adaptive execution can split a user who holds many replies.
     """
-    first = contacts.groupBy("user_id").agg(F.min("ts").alias("contacted_at"))
+    first = staged(contacts.groupBy("user_id").agg(F.min("ts").alias("contacted_at")), "contacts")
     limit = F.col("contacted_at") + F.expr(f"INTERVAL {int(hours)} HOURS")
     in_time = replies.join(first, "user_id").where(
         (F.col("ts") > F.col("contacted_at")) & (F.col("ts") <= limit)
     )
-    return in_time.groupBy("user_id", "contacted_at").agg(F.min("ts").alias("replied_at"))
+    # Grouped by user_id itself, the rows would stay where the join put them, and
+    # adaptive execution would not split the join.
+    contact = F.struct("user_id", "contacted_at").alias("contact")
+    replied = in_time.groupBy(contact).agg(F.min("ts").alias("replied_at"))
+    return replied.select("contact.*", "replied_at")

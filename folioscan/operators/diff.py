@@ -52,11 +52,13 @@ def line_changes(texts: DataFrame, pairs: DataFrame) -> DataFrame:
         )
 
     both = F.concat(counted("text_a", 1, 0), counted("text_b", 0, 1))
-    lines = _paired(texts, pairs).select("a", "b", F.inline(both))
-    totals = lines.groupBy("a", "b", "text").agg(
+    # The pair as one value: grouped by a itself, the rows would stay where the
+    # join put them, and adaptive execution would not split the join.
+    lines = _paired(texts, pairs).select(F.struct("a", "b").alias("pair"), F.inline(both))
+    totals = lines.groupBy("pair", "text").agg(
         F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b")
     )
-    return totals.where(F.col("n_a") != F.col("n_b"))
+    return totals.where(F.col("n_a") != F.col("n_b")).select("pair.*", "text", "n_a", "n_b")
 
 
 def _lines(column: str) -> Column:

@@ -20,10 +20,9 @@ def tag_histogram(docs: DataFrame) -> DataFrame:
 
 def doc_tags(docs: DataFrame) -> DataFrame:
     """``doc_id, tag, n``."""
-    tags = F.transform(all_matches(F.col("html"), P.TAG_NAME), F.lower)
     return (
-        docs.select("doc_id", F.explode(tags).alias("tag"))
-        .groupBy("doc_id", "tag")
+        docs.select("doc_id", F.explode(all_matches(F.col("html"), P.TAG_NAME)).alias("tag"))
+        .groupBy("doc_id", F.lower("tag").alias("tag"))
         .agg(F.count("*").alias("n"))
     )
 
@@ -47,10 +46,10 @@ def nesting_depth(docs: DataFrame, tag: str) -> DataFrame:
 
 def palette(docs: DataFrame) -> DataFrame:
     """``doc_id, colour, n`` of six-digit colours."""
-    colours = F.transform(all_matches(F.col("html"), P.COLOUR), F.lower)
+    found = docs.select("doc_id", F.explode(all_matches(F.col("html"), P.COLOUR)).alias("colour"))
     return (
-        docs.select("doc_id", F.explode(colours).alias("colour"))
-        .groupBy("doc_id", "colour")
+        found.where(F.col("colour") != "")
+        .groupBy("doc_id", F.lower("colour").alias("colour"))
         .agg(F.count("*").alias("n"))
     )
 

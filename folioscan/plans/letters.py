@@ -50,7 +50,7 @@ LETTER = " || ".join(
         "'<!-- Portada -->' || repeat('<table role=\"presentation\"><tr><td>', CAST(2 + doc_id % 3 AS int))",
         "'<img src=\"https://img.example.org/' || source || '.png\" width=\"160\"'",
         when("doc_id % 7 <> 0", ' alt="Logotipo"'),
-        "'><h1 class=\"hero pad\" style=\"color:#1b2a'",
+        "'><h1 class=\"hero pad\" style=\"color:#203a'",
         "CASE doc_id % 4 WHEN 0 THEN '8c' WHEN 1 THEN '9d' WHEN 2 THEN 'AE' ELSE 'bf' END",
         "';font-family:' || CASE doc_id % 3 WHEN 0 THEN 'Georgia, serif' "
         "WHEN 1 THEN '''Trebuchet MS'',  Verdana,sans-serif' ELSE 'Verdana,sans-serif' END",
@@ -72,7 +72,7 @@ LETTER = " || ".join(
         + number("doc_id % 5")
         + " || '&amp;body=x\">Escribir</a><a href=\"mailto:hola@example.org\">Correo</a>'",
         "'<a href=\"tel:+34000000000\">Llamar</a><a href=\"https://www.example.org/' || source || '\">Web</a>'",
-        when("doc_id % 13 <> 0", '<a href="{{unsubscribe_url}}" style="color:#64748b">Baja</a>'),
+        when("doc_id % 13 <> 0", '<a href="{{unsubscribe_url}}" style="color:#5a6b7c">Baja</a>'),
         "repeat('</td></tr></table>', CAST(2 + doc_id % 3 AS int)) || '</body></html>'",
     ]
 )
@@ -119,7 +119,7 @@ HEADER_SQL = f"""
 PALETTE_SQL = f"""
     SELECT doc_id, colour, count(*) AS n
     FROM (SELECT doc_id, lower(unnest({q.extract_all('html', P.COLOUR)})) AS colour FROM {LETTERS})
-    GROUP BY doc_id, colour"""
+    WHERE colour <> '' GROUP BY doc_id, colour"""
 
 CSS = f"array_to_string({q.extract_all('html', P.STYLE_BLOCK)}, chr(10))"
 RULES_SQL = f"""

@@ -34,7 +34,7 @@ BASE = """<!DOCTYPE html>
 <a href='https://files.example.net/a-2.pdf'>Antes</a><a href=https://files.example.net/b-2.pdf>Después</a>
 <a href="https://files.example.net/a-3.pdf">Antes</a><a href="/otro">Otro</a><a href="https://files.example.net/b-3.pdf">Después</a>
 <a name="ancla">sin destino</a>
-<p>Desde 60 páginas por 475 € (7,92 €/pág.), 10 páginas = 80 €, o 1.250,50&nbsp;&euro; al año. 1.402 visitas.</p>
+<p>Desde 40 páginas por 250 € (6,25 €/pág.), 10 páginas = 80 €, o 1.250,50&nbsp;&euro; al año. 3.817 visitas.</p>
 <a href="mailto:hola@example.org?subject=Quiero%20m%C3%A1s+info">Escribir</a>
 <a href="mailto:hola@example.org">Correo</a>
 <a href="tel:+34000000000">Llamar</a>

@@ -122,11 +122,11 @@ def test_sections_and_merge_tags(mails):
 
 def test_prices(mails):
     amounts = [a for _, a in of(extract.prices(mails), "base", "pos", "amount")]
-    assert amounts == [Decimal("475.00"), Decimal("7.92"), Decimal("80.00"), Decimal("1250.50")]
+    assert amounts == [Decimal("250.00"), Decimal("6.25"), Decimal("80.00"), Decimal("1250.50")]
     assert of(extract.prices(mails), "bare", "amount") == []
     packs = of(extract.pack_prices(mails), "base", "pos", "units", "stated", "computed", "agrees")
     assert packs == [
-        (0, 60, Decimal("7.92"), Decimal("7.92"), True),
+        (0, 40, Decimal("6.25"), Decimal("6.25"), True),
         (1, 10, None, Decimal("8.00"), None),
     ]
 
