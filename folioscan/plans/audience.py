@@ -52,7 +52,8 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def moment(column: str) -> Column:
-    return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    """A time without zone as text, whatever the zone of the session."""
+    return F.col(column).cast("string")
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +64,6 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-MOMENT = "'%Y-%m-%d %H:%M:%S.%f'"
-
 QUERIES = {
     "followup_audience": Query(
         lambda s, d: audience.followup_audience(
@@ -82,7 +81,7 @@ QUERIES = {
     ),
     "first_offer_only": Query(
         first_offers,
-        f"""SELECT account_id, strftime(offered_at, {MOMENT}) AS offered_at, offer_id
+        """SELECT account_id, CAST(offered_at AS VARCHAR) AS offered_at, offer_id
             FROM (SELECT o_custkey AS account_id, o_orderdate AS offered_at, o_orderkey AS offer_id,
                          row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place
                   FROM orders WHERE o_orderstatus = 'O')
@@ -105,8 +104,8 @@ QUERIES = {
         replies,
         f"""WITH c AS (SELECT user_id, min(ts) AS contacted_at FROM events
                        WHERE event_type = 'view' GROUP BY user_id)
-            SELECT user_id, strftime(contacted_at, {MOMENT}) AS contacted_at,
-                   strftime(min(ts), {MOMENT}) AS replied_at
+            SELECT user_id, CAST(contacted_at AS VARCHAR) AS contacted_at,
+                   CAST(min(ts) AS VARCHAR) AS replied_at
             FROM c JOIN events USING (user_id)
             WHERE event_type = 'click' AND ts > contacted_at
               AND ts <= contacted_at + INTERVAL {REPLY_HOURS} HOUR

@@ -119,6 +119,20 @@ def test_families_follow_long_chains(spark, n):
     )
 
 
+def test_links_in_a_circle_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "FAMILY_ROUNDS", 4)
+    links = spark.createDataFrame([(1, 2), (2, 1)], "a long, b long")
+    with pytest.raises(ValueError):
+        dedup.version_family(links)
+
+
+def test_similarity_of_given_pairs(spark):
+    texts = frame(spark, ["a b c d e f", "A  b c d e x", "a b", "q r s t u"])
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (0, 3)], "a long, b long")
+    got = dedup.similarity(texts, pairs).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 1 / 3), (0, 3, 0.0)]
+
+
 def test_no_links_no_families(spark):
     assert dedup.version_family(spark.createDataFrame([], "a long, b long")).count() == 0
 
