@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscan.llm import (
+    chat_format,
+    decontaminate,
     langid,
     packing,
     pu_quality,
@@ -30,6 +32,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = chat_format.with_planted(table(spark, sf_dir, "conversations"))
+    return chat_format.digests(chat_format.format_chats(conversations))
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.repeated_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -54,6 +65,8 @@ QUERIES: dict[str, Run] = {
     run.__name__: run
     for run in (
         op1_toxicity,
+        op2_chat_formatting,
+        op3_benchmark_decontamination,
         op5_token_counts,
         op6_quality_rules,
         op7_language_id,
@@ -62,4 +75,7 @@ QUERIES: dict[str, Run] = {
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_chat_formatting": chat_format.CHECK_SQL,
+    "op3_benchmark_decontamination": decontaminate.CHECK_SQL,
+}
