@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from folioscan.llm import (
     chat_format,
     decontaminate,
+    html_extract,
     langid,
     packing,
     pu_quality,
@@ -61,6 +62,10 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_texts(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Run] = {
     run.__name__: run
     for run in (
@@ -72,6 +77,7 @@ QUERIES: dict[str, Run] = {
         op7_language_id,
         op8_best_fit_packing,
         op9_quality_classifier,
+        op10_html_extraction,
     )
 }
 
