@@ -1,0 +1,37 @@
+"""Connected components of a table of links."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from folioscan.session import staged
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``node, root``: the smallest node that can be reached, for every node with a link.
+
+    ``links`` has the columns ``a`` and ``b``. Every round a node takes the least
+    root among its neighbours and its own, and then its root's root; the rounds
+    end when no root changes. Each round's table is written, so a lost executor
+    costs a read.
+    """
+    edges = staged(
+        links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
+        "edges",
+    )
+    roots = staged(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "node"), "roots")
+    while True:
+        least = (
+            edges.join(roots.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
+        )
+        nearer = roots.join(least.withColumnRenamed("a", "node"), "node").select(
+            "node", F.col("root").alias("old"), F.least("root", "near").alias("root")
+        )
+        above = roots.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        found = staged(
+            nearer.join(above, "root").select("node", "old", F.least("root", "above").alias("root")), "roots"
+        )
+        roots = found.select("node", "root")
+        if found.where(F.col("old") != F.col("root")).isEmpty():
+            return roots

@@ -11,6 +11,7 @@ from folioscan.llm import (
     decontaminate,
     html_extract,
     langid,
+    ngram_join,
     packing,
     pu_quality,
     quality_rules,
@@ -42,6 +43,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.repeated_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Run] = {
         op1_toxicity,
         op2_chat_formatting,
         op3_benchmark_decontamination,
+        op4_ngram_jaccard_join,
         op5_token_counts,
         op6_quality_rules,
         op7_language_id,
