@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +63,7 @@ def rows_of(documents: DataFrame, ids: dict, kind: str) -> DataFrame:
 
 
 def by_batch(
-    df: DataFrame, compute: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str
+    df: DataFrame, compute: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType
 ) -> DataFrame:
     """Apply ``compute`` to each Arrow batch of each partition."""
 
@@ -78,6 +79,10 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [value or "" for value in batch.column(column).to_pylist()]
 
 
-def ascii_words(text: str) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8."""
-    return text.encode("utf-8", "surrogatepass").split()
+def filtered(df: DataFrame, keep: Callable[[list[str]], list[bool]]) -> DataFrame:
+    """The rows, with all their columns, whose text ``keep`` is true for; null text is empty."""
+
+    def compute(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(keep(texts_of(batch)), pa.bool_()))
+
+    return by_batch(df, compute, df.schema)

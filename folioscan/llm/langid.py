@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import by_batch, remainder, rows_of, sample_ids, texts_of
+from folioscan.llm.common import by_batch, filtered, remainder, rows_of, sample_ids, texts_of
 
 FOLDS, HELD = 5, 0
 #: Bound of the sample of each language.
@@ -178,3 +178,14 @@ def language(documents: DataFrame, model: Model | None) -> DataFrame:
 
 def language_id(documents: DataFrame) -> DataFrame:
     return language(documents, learned(documents))
+
+
+def known_language(documents: DataFrame, model: Model | None, least: float = LEAST_SCORE) -> DataFrame:
+    """The documents, with all their columns, whose language is told with a score of ``least`` or more."""
+    held = documents.sparkSession.sparkContext.broadcast(model)
+
+    def keep(texts: list[str]) -> list[bool]:
+        found = (predict(text, held.value) for text in texts)
+        return [name != UNKNOWN and score >= least for name, score in found]
+
+    return filtered(documents, keep)

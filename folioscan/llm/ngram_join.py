@@ -27,7 +27,7 @@ further columns are ignored. Sets and nodes are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -163,7 +163,7 @@ def settle(table: pa.Table) -> pa.Table:
     return pa.table({"node": pa.array(owner, pa.int64()), "shared": pa.array(counts, pa.int64())})
 
 
-def shared_counts(sets: DataFrame, compute: callable, n_entries: int) -> DataFrame:
+def shared_counts(sets: DataFrame, compute: Callable, n_entries: int) -> DataFrame:
     """``node, shared``: how many of the tokens that ``compute`` gives for a row others have too.
 
     ``compute`` maps a batch to pairs of node and tokens.
@@ -389,3 +389,33 @@ def ngram_join(documents: DataFrame, size: int = SIZE) -> DataFrame:
         F.col("n").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
+
+
+def one_of_each(documents: DataFrame, size: int = SIZE) -> DataFrame:
+    """One document of each component, that of the least id, with all its columns.
+
+    Of repeated rows one stays. Rows without an id stay, unless they are like one
+    that has an id or another one without. Where an id stands for several texts,
+    all of them stay if one does.
+    """
+    found = staged(ngram_join(documents, size).select("doc_id", "component_id"), "found")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    staying = found.where(stays).select("doc_id").distinct()
+    going = staged(
+        exclude(found.where(~stays).select("doc_id").distinct(), staying), "going"
+    )
+    several = staged(
+        found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("of")).where("of > 1").select("doc_id"), "several"
+    )
+    left = exclude(documents, going)
+    repeated = several.select(F.col("doc_id").alias("_id"))
+    same = left["doc_id"].eqNullSafe(repeated["_id"])
+    return exclude(left, several).unionAll(
+        left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    )
+
+
+def exclude(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is not among ``ids``; null equals null."""
+    others = ids.select(F.col("doc_id").alias("_id"))
+    return rows.join(others, rows["doc_id"].eqNullSafe(others["_id"]), "left_anti")

@@ -49,8 +49,8 @@ class Condition(NamedTuple):
         values = rows[self.feature]
         return values >= self.threshold if self.above else values <= self.threshold
 
-    def column(self) -> Column:
-        value = F.col(self.feature)
+    def column(self, prefix: str = "") -> Column:
+        value = F.col(prefix + self.feature)
         return value >= self.threshold if self.above else value <= self.threshold
 
 
@@ -127,11 +127,11 @@ def learn(rows: dict[str, np.ndarray], bad: np.ndarray, ids: np.ndarray) -> list
     return rules
 
 
-def verdict(rules: list[Rule]) -> Column:
+def verdict(rules: list[Rule], prefix: str = "") -> Column:
     """The decision list: false for the first rule that holds, true where none does."""
     decided: Column = F.lit(True)
     for rule in reversed(rules):
-        held = reduce(and_, (condition.column() for condition in rule))
+        held = reduce(and_, (condition.column(prefix) for condition in rule))
         decided = F.when(held, F.lit(False)).otherwise(decided)
     return decided
 
@@ -141,7 +141,7 @@ def learned_rules(documents: DataFrame, labels: DataFrame, per_label: int = PER_
     ids = sample_ids(labels_of(labels, "quality"), per_label)
     if len(set(ids.values())) < 2:
         return []
-    found = text_stats(rows_of(documents, ids, "int"), "label int").collect()
+    found = text_stats(rows_of(documents, ids, "int"), "doc_id", "label").collect()
     found.sort(key=lambda row: row["doc_id"])
     rows = {name: np.array([row[name] for row in found], dtype=np.int64) for name in FEATURES}
     if not found:
@@ -150,16 +150,27 @@ def learned_rules(documents: DataFrame, labels: DataFrame, per_label: int = PER_
     return learn(rows, bad, np.array([row["doc_id"] for row in found]))
 
 
+def base_failed(prefix: str = "") -> Column:
+    """Whether a text has too few words, or too many of them in repeated windows."""
+    n_words = F.col(prefix + "n_words")
+    return (n_words < LEAST_WORDS) | (100 * F.col(prefix + "n_repeat_words") > MOST_REPEATED * n_words)
+
+
 def apply_rules(documents: DataFrame, rules: list[Rule]) -> DataFrame:
     """``doc_id``, the base statistics, ``base_failed`` and ``kept``."""
-    failed = (F.col("n_words") < LEAST_WORDS) | (
-        100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")
-    )
-    return text_stats(documents).select(
+    failed = base_failed()
+    return text_stats(documents, "doc_id").select(
         "doc_id", *COUNTS, failed.alias("base_failed"), (~failed & verdict(rules)).alias("kept")
     )
 
 
+def kept_by_rules(documents: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The documents, with all their columns, that base rule and learned rules keep."""
+    prefix = "_stat_"
+    found = text_stats(documents, *documents.columns, prefix=prefix)
+    return found.where(~base_failed(prefix) & verdict(rules, prefix)).select(*documents.columns)
+
+
 def quality_rules(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Every document with its statistics and whether base rule and learned rules keep it."""
     return apply_rules(documents, learned_rules(documents, labels))

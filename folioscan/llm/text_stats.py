@@ -6,8 +6,9 @@ from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import LongType, StructField, StructType
 
-from folioscan.llm.common import by_batch, texts_of
+from folioscan.llm.common import by_batch
 
 WINDOW = 5
 SPACES = " \t\n\v\f\r"
@@ -62,17 +63,15 @@ def stats(text: str) -> tuple[int, ...]:
     )
 
 
-def text_stats(documents: DataFrame, extra: str = "") -> DataFrame:
-    """``doc_id``, the statistics, and the column ``extra`` (name and type) if given."""
-    also = extra.split(" ")[:1] if extra else []
+def text_stats(documents: DataFrame, *kept: str, prefix: str = "") -> DataFrame:
+    """The columns ``kept`` and the statistics of ``text``, named with ``prefix``."""
+    named = [prefix + name for name in (*COUNTS, *SHARES)]
+    given = documents.select(*kept, documents["text"].alias(f"{prefix}whole text"))
+    schema = StructType([*given.schema.fields[:-1], *(StructField(name, LongType()) for name in named)])
 
     def compute(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [stats(text) for text in texts_of(batch)]
-        columns = [pa.array([row[i] for row in rows], pa.int64()) for i in range(len(COUNTS + SHARES))]
-        kept = [batch.column(name) for name in ("doc_id", *also)]
-        return pa.RecordBatch.from_arrays([*kept, *columns], ["doc_id", *also, *COUNTS, *SHARES])
+        rows = [stats(text or "") for text in batch.column(len(kept)).to_pylist()]
+        columns = [pa.array([row[i] for row in rows], pa.int64()) for i in range(len(named))]
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], *named])
 
-    fields = [f"{name} long" for name in ("doc_id", *COUNTS, *SHARES)]
-    if extra:
-        fields.insert(1, extra)
-    return by_batch(documents.select("doc_id", "text", *also), compute, ", ".join(fields))
+    return by_batch(given, compute, schema)
