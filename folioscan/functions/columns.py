@@ -42,6 +42,11 @@ def all_matches(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def markup(html: Column) -> Column:
+    """The document without comments and without what scripts and styles hold."""
+    return F.regexp_replace(html, P.NOT_MARKUP, "$1$2$3$4")
+
+
 def visible_text(html: Column) -> Column:
     """Prose of a document; entities stay as written."""
     return squeeze(F.regexp_replace(html, P.NOT_SHOWN, " "))
@@ -59,11 +64,44 @@ def count_words(squeezed: Column) -> Column:
 
 
 def decimal_amount(text: Column) -> Column:
-    """``1.250,50`` as a decimal; NULL where it does not fit."""
+    """``1.250,50`` as a decimal; NULL beyond 8 digits before the comma."""
     plain = F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
     return plain.try_cast("decimal(10,2)")
 
 
+def counts(values: Column) -> Column:
+    """``value, n`` of the distinct values of an array, in order; the array is sorted once."""
+
+    def of_sorted(ordered: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(ordered))
+        # Where a value begins, and the end of the array.
+        begins = F.filter(
+            places,
+            lambda i: (i == 0) | (i == F.size(ordered)) | (F.get(ordered, i) != F.get(ordered, i - 1)),
+        )
+        return let(
+            begins,
+            lambda at: F.transform(
+                F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0))),
+                lambda begin, i: F.struct(
+                    F.get(ordered, begin).alias("value"), (F.get(at, i + 1) - begin).cast("long").alias("n")
+                ),
+            ),
+        )
+
+    return let(F.array_sort(values), of_sorted)
+
+
+def most_frequent(values: Column, k: int) -> Column:
+    """The k most frequent values of an array with their counts; ties go to the smaller value."""
+    ranked = F.array_sort(
+        F.transform(counts(values), lambda c: F.struct((-c["n"]).alias("less"), c["value"].alias("value")))
+    )
+    return F.transform(
+        F.slice(ranked, 1, k), lambda c: F.struct(c["value"].alias("value"), (-c["less"]).alias("n"))
+    )
+
+
 def occurrences(values: Column) -> Column:
     """Per distinct value of an array: how often it occurs (n) and one mark (d).
 

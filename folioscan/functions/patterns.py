@@ -14,7 +14,8 @@ VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 LANG = r"(?i)<html\b[^>]*?\slang\s*=\s*" + VALUE
 HIDDEN_DIV = (
-    r"""(?is)<div\b[^>]*?\sstyle\s*=\s*"[^">]*display\s*:\s*none[^">]*"[^>]*>(.*?)</div\s*>"""
+    r"""(?is)<div\b[^>]*?\sstyle\s*=\s*(?:"[^">]*display\s*:\s*none[^">]*"|'[^'>]*display\s*:\s*none[^'>]*')"""
+    r"""[^>]*>(.*?)</div\s*>"""
 )
 ANCHOR_START = r"(?i)<a\s"
 ANCHOR_HREF = r"(?i)<a(?:\s[^>]*?)?\shref\s*=\s*" + VALUE
@@ -28,7 +29,8 @@ COMMENT_PREHEADER = r"PREHEADER:[ \t]*([^\n\r]*)"
 TAG_NAME = r"<([A-Za-z][A-Za-z0-9]*)"
 # Group 1 stays empty for a character reference such as "&#128512;".
 COLOUR = r"&#|(#[0-9a-fA-F]{6})\b"
-FONT_STACK = r"""(?i)font-family\s*:\s*([^;"{}]+)"""
+FONT_STACK = r"""(?i)font-family\s*:\s*([^;{}]+)"""
+STYLE_ATTRIBUTE = r"(?i)<[a-z][^>]*?\sstyle\s*=\s*" + VALUE
 STYLE_BLOCK = r"(?is)<style\b[^>]*>(.*?)</style\s*>"
 CSS_NOISE = r"(?s)/\*.*?\*/|@import[^;]*;|\{[^{}]*\}"
 CSS_CLASS = r"\.(-?[A-Za-z_][A-Za-z0-9_-]*)"
@@ -36,6 +38,12 @@ CLASS_ATTRIBUTE = r"(?i)<[a-z][^>]*?\sclass\s*=\s*" + VALUE
 MERGE_TAG = r"\{\{\s*([A-Za-z_][A-Za-z0-9_.]*)\s*\}\}"
 UNSUBSCRIBE_TAG = r"\{\{\s*unsubscribe_url\s*\}\}"
 
+# Comments go whole; of scripts and styles the tags stay (groups 1 to 4).
+NOT_MARKUP = (
+    r"(?is)<!--.*?-->|(<script\b[^>]*>).*?(</script\s*>)|(<style\b[^>]*>).*?(</style\s*>)"
+)
+QUOTED = r"""(?s)"[^"]*"|'[^']*'"""
+
 # Visible text: what is not shown goes first, then every remaining tag. All
 # branches share their first character, so other text is passed over quickly. A
 # "<" before anything but a letter or one of "/!?" is text, as in HTML.
@@ -67,6 +75,11 @@ def attribute(name: str) -> str:
     return rf"(?i)\s{name}\s*=\s*" + VALUE
 
 
+def has_attribute(name: str) -> str:
+    """Pattern for an attribute, with a value or without, of a tag whose quoted values are empty."""
+    return rf"(?i)\s{name}(?:[\s=/>]|$)"
+
+
 def tag_edges(tag: str) -> str:
     """Pattern for the opening (group 1 empty) and closing ('/') marks of a tag."""
     return rf"(?i)<(/?){tag}(?:[\s/][^>]*)?>"

@@ -7,11 +7,16 @@ meet the accounts.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.session import staged
 
+#: Offer ids are below this number.
+IDS = Decimal(10**19)
+
 
 def followup_audience(accounts: DataFrame, opens: DataFrame, key: str, by: str) -> DataFrame:
     """Accounts with at least one open; ``key`` of accounts is ``by`` of opens."""
@@ -28,21 +33,32 @@ def suppress(accounts: DataFrame, opt_outs: DataFrame, key: str, by: str) -> Dat
 def first_offer_only(offers: DataFrame, served: DataFrame) -> DataFrame:
     """``account_id, offered_at, offer_id``: the first offer of each account never served.
 
-    ``offers(account_id, offered_at, offer_id)``, ``served(account_id)``. Both
-    tables go through one aggregation by account, combined per task. A sorted
+    ``offers(account_id, offered_at, offer_id)``, ``served(account_id)``; offer ids
+    are whole numbers from 0. Time and id make one number, whose minimum is found
+    by hashing, where that of a pair would need a sort. Both tables go through one aggregation by account, combined per task. A sorted
     window would gather all offers of an account in one task, and so would an
     anti-join, which the optimizer moves below the aggregation.
     """
+    place = F.unix_micros(F.col("offered_at").cast("timestamp")).cast("decimal(38,0)") * F.lit(IDS) + F.col(
+        "offer_id"
+    ).cast("decimal(20,0)")
     rows = offers.select(
-        "account_id", F.struct("offered_at", "offer_id").alias("offer"), F.lit(False).alias("served")
+        "account_id", place.alias("place"), F.lit(False).alias("served")
     ).unionByName(
         served.select("account_id", F.lit(True).alias("served")), allowMissingColumns=True
     )
     accounts = rows.groupBy("account_id").agg(
-        F.min("offer").alias("first"), F.bool_or("served").alias("served")
+        F.min("place").alias("first"), F.bool_or("served").alias("served")
     )
     waiting = accounts.where(~F.col("served") & F.col("first").isNotNull())
-    return waiting.select("account_id", "first.offered_at", "first.offer_id")
+    offer_id = F.pmod(F.col("first"), F.lit(IDS))
+    offered_at = F.timestamp_micros(F.call_function("div", F.col("first") - offer_id, F.lit(IDS)))
+    kinds = dict(offers.dtypes)
+    return waiting.select(
+        "account_id",
+        offered_at.cast(kinds["offered_at"]).alias("offered_at"),
+        offer_id.cast(kinds["offer_id"]).alias("offer_id"),
+    )
 
 
 def variant_rates(

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.functions import patterns as P
-from folioscan.functions.columns import all_matches, attribute
-from folioscan.operators.extract import subject_of, title_of
+from folioscan.operators.extract import images_of, subject_of, title_of
 
 RULES = ("has_title", "has_lang", "has_preheader", "has_unsubscribe", "images_have_alt")
 
 
+def has_alt(tag: Column) -> Column:
+    """Whether an image tag has ``alt``, be it without a value; quoted values are emptied first."""
+    return F.regexp_replace(tag, P.QUOTED, '""').rlike(P.has_attribute("alt"))
+
+
 def audit(docs: DataFrame) -> DataFrame:
     """One boolean per rule and document; row-local."""
     html = F.col("html")
@@ -21,9 +25,7 @@ def audit(docs: DataFrame) -> DataFrame:
         (F.regexp_extract(html, P.LANG, 1) != "").alias("has_lang"),
         html.rlike(P.HIDDEN_DIV).alias("has_preheader"),
         html.rlike(P.UNSUBSCRIBE_TAG).alias("has_unsubscribe"),
-        F.forall(all_matches(html, P.IMG, 0), lambda t: attribute(t, "alt").isNotNull()).alias(
-            "images_have_alt"
-        ),
+        F.forall(images_of(html), has_alt).alias("images_have_alt"),
     )
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.functions.columns import counts, let
+
 
 def revision_diff(texts: DataFrame, a: object, b: object) -> DataFrame:
     """``line, side, text`` of the lines in which documents ``a`` and ``b`` differ by position.
 
-    The two ids reach the scan as a filter.
+    The two ids reach the scan as a filter. An id without a document has no lines.
     """
     doc = F.col("doc_id")
     both = texts.where(doc.isin(a, b)).agg(
@@ -43,34 +45,52 @@ def _differing_lines(paired: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def line_changes(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``a, b, text, n_a, n_b``: lines a pair does not hold equally often, wherever they stand."""
+    """``a, b, text, n_a, n_b``: lines a pair does not hold equally often, wherever they stand.
+
+    Both texts are in one row and are counted there; a document that is missing
+    has no lines.
+    """
 
-    def counted(column: str, n_a: int, n_b: int) -> Column:
+    def marked(column: str, side: int) -> Column:
         return F.transform(
-            _lines(column),
-            lambda t: F.struct(t.alias("text"), F.lit(n_a).alias("n_a"), F.lit(n_b).alias("n_b")),
+            _lines(column), lambda t: F.struct(t.alias("text"), F.lit(side).alias("side"))
         )
 
-    both = F.concat(counted("text_a", 1, 0), counted("text_b", 0, 1))
-    # The pair as one value: grouped by a itself, the rows would stay where the
-    # join put them, and adaptive execution would not split the join.
-    lines = _paired(texts, pairs).select(F.struct("a", "b").alias("pair"), F.inline(both))
-    totals = lines.groupBy("pair", "text").agg(
-        F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b")
-    )
-    return totals.where(F.col("n_a") != F.col("n_b")).select("pair.*", "text", "n_a", "n_b")
+    # Counted by line and side; the sides of a line stand next to each other.
+    both = counts(F.concat(marked("text_a", 0), marked("text_b", 1)))
+
+    def sides(found: Column) -> Column:
+        def change(line: Column, i: Column) -> Column:
+            before, after = F.get(found, i - 1), F.get(found, i + 1)
+            text, side = line["value"]["text"], line["value"]["side"]
+            other = F.when(
+                side == 0, F.when((after["value"]["text"] == text), after["n"])
+            ).otherwise(F.when((i > 0) & (before["value"]["text"] == text), before["n"]))
+            return F.struct(
+                text.alias("text"),
+                F.when(side == 0, line["n"]).otherwise(F.coalesce(other, F.lit(0))).alias("n_a"),
+                F.when(side == 1, line["n"]).otherwise(F.coalesce(other, F.lit(0))).alias("n_b"),
+                # A line of both sides is told once, at its first side.
+                ((side == 0) | other.isNull()).alias("first"),
+            )
+
+        changes = F.filter(F.transform(found, change), lambda c: c["first"] & (c["n_a"] != c["n_b"]))
+        return F.transform(changes, lambda c: F.struct(c["text"], c["n_a"], c["n_b"]))
+
+    return _paired(texts, pairs).select("a", "b", F.inline(let(both, sides)))
 
 
 def _lines(column: str) -> Column:
-    return F.split(column, "\n")
+    """The lines of a text; none where the document is missing."""
+    return F.coalesce(F.split(column, "\n"), F.array().cast("array<string>"))
 
 
 def _paired(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Both texts beside their ids.
+    """Both texts beside their ids, NULL for an id without a document.
 
     Texts have one row per id; an ``a`` that many pairs share is split by
     adaptive execution.
     """
     of_a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     of_b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(of_b, "b").join(of_a, "a")
+    return pairs.select("a", "b").join(of_b, "b", "left").join(of_a, "a", "left")

@@ -1,8 +1,7 @@
 """From ``docs(doc_id, html)`` to one row per document or per occurrence.
 
-All of this is row-local: no operator in this module shuffles except where a
-count per document is asked for, and there each document's rows are combined
-before they move. ``html`` is read once and dropped straight away.
+All of this is row-local: no operator in this module shuffles, but for
+:func:`stats_by_language`. ``html`` is read once and dropped straight away.
 ``pos`` counts from 0 in document order.
 """
 
@@ -16,7 +15,9 @@ from folioscan.functions.columns import (
     all_matches,
     attribute,
     count_words,
+    counts,
     decimal_amount,
+    markup,
     squeeze,
     unquote,
     visible_text as visible_text_of,
@@ -59,15 +60,19 @@ def comment_header(docs: DataFrame) -> DataFrame:
     )
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """``doc_id, pos, href`` of every anchor that has a target."""
-    hrefs = F.transform(all_matches(F.col("html"), P.ANCHOR_HREF), unquote)
-    return docs.select("doc_id", F.posexplode(hrefs).alias("pos", "href"))
+def hrefs_of(html: Column) -> Column:
+    """Targets of the anchors; none in comments and scripts."""
+    return F.transform(all_matches(markup(html), P.ANCHOR_HREF), unquote)
 
 
-def link_texts(docs: DataFrame) -> DataFrame:
-    """As :func:`links`, with the words shown for each link."""
-    pieces = F.filter(F.split("html", P.ANCHOR_START), lambda s, i: i > 0)
+def images_of(html: Column) -> Column:
+    """The image tags; none in comments and scripts."""
+    return all_matches(markup(html), P.IMG, 0)
+
+
+def anchors_of(html: Column) -> Column:
+    """``href, text`` of the anchors that have a target."""
+    pieces = F.filter(F.split(markup(html), P.ANCHOR_START), lambda s, i: i > 0)
     segments = F.transform(pieces, lambda s: F.concat(F.lit(" "), s))
     anchors = F.transform(
         segments,
@@ -76,7 +81,17 @@ def link_texts(docs: DataFrame) -> DataFrame:
             squeeze(F.regexp_replace(F.regexp_extract(s, P.SEGMENT_TEXT, 1), P.TAG, " ")).alias("text"),
         ),
     )
-    targets = F.filter(anchors, lambda a: a["href"].isNotNull())
+    return F.filter(anchors, lambda a: a["href"].isNotNull())
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """``doc_id, pos, href`` of every anchor that has a target."""
+    return docs.select("doc_id", F.posexplode(hrefs_of(F.col("html"))).alias("pos", "href"))
+
+
+def link_texts(docs: DataFrame) -> DataFrame:
+    """As :func:`links`, with the words shown for each link."""
+    targets = anchors_of(F.col("html"))
     return docs.select("doc_id", F.posexplode(targets).alias("pos", "link")).select(
         "doc_id", "pos", "link.href", "link.text"
     )
@@ -84,7 +99,7 @@ def link_texts(docs: DataFrame) -> DataFrame:
 
 def images(docs: DataFrame) -> DataFrame:
     """``doc_id, pos, src, alt, width``; NULL for an attribute the tag lacks."""
-    tags = docs.select("doc_id", F.posexplode(all_matches(F.col("html"), P.IMG, 0)).alias("pos", "tag"))
+    tags = docs.select("doc_id", F.posexplode(images_of(F.col("html"))).alias("pos", "tag"))
     return tags.select(
         "doc_id", "pos", *(attribute(F.col("tag"), a).alias(a) for a in ("src", "alt", "width"))
     )
@@ -126,9 +141,9 @@ def sections(docs: DataFrame) -> DataFrame:
 
 
 def merge_tags(docs: DataFrame) -> DataFrame:
-    """``doc_id, tag, n``: placeholders to be filled per recipient."""
-    tags = docs.select("doc_id", F.explode(all_matches(F.col("html"), P.MERGE_TAG)).alias("tag"))
-    return tags.groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
+    """``doc_id, tag, n``: placeholders to be filled per recipient; counted within the row."""
+    tags = counts(all_matches(F.col("html"), P.MERGE_TAG))
+    return docs.select("doc_id", F.inline(tags)).withColumnRenamed("value", "tag")
 
 
 def prices(docs: DataFrame) -> DataFrame:

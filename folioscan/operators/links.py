@@ -1,11 +1,13 @@
-"""Work on link and image tables ``(doc_id, pos, href …)``."""
+"""Links and images of documents, and of link tables ``(doc_id, pos, href)``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.functions import patterns as P
+from folioscan.functions.columns import attribute, let, occurrences
+from folioscan.operators.extract import anchors_of, hrefs_of, images_of
 
 
 def classify_links(links: DataFrame) -> DataFrame:
@@ -33,57 +35,75 @@ def mailto_subjects(links: DataFrame) -> DataFrame:
     A plus sign stays a plus sign, as mail links mean it; NULL where the
     escapes are not valid.
     """
-    mail = links.where(F.lower(F.regexp_extract("href", P.SCHEME, 1)) == "mailto")
-    encoded = mail.withColumn("encoded", F.regexp_extract("href", P.MAIL_SUBJECT, 1))
-    return encoded.where(F.col("encoded") != "").select(
+    is_mail = F.lower(F.regexp_extract("href", P.SCHEME, 1)) == "mailto"
+    encoded = F.when(is_mail, F.regexp_extract("href", P.MAIL_SUBJECT, 1)).otherwise("")
+    # Unfolded rather than filtered: a filter would match the patterns a second time.
+    subjects = F.filter(F.array(encoded), lambda subject: subject != "")
+    return links.select("doc_id", "pos", F.explode(subjects).alias("encoded")).select(
         "doc_id",
         "pos",
         F.try_url_decode(F.replace("encoded", F.lit("+"), F.lit("%2B"))).alias("subject"),
     )
 
 
-def link_domains(links: DataFrame) -> DataFrame:
-    """``host, n_links, n_docs`` of links that name a host.
+def link_domains(docs: DataFrame) -> DataFrame:
+    """``host, n_links, n_docs`` of the links of ``docs(doc_id, html)`` that name a host."""
+    return host_counts(docs.select(hrefs_of(F.col("html")).alias("hrefs")))
 
-    First one row per host and document, then one per host: both steps combine
-    before they shuffle, so a host held by a third of all links reaches its task
-    as a few partial counts.
+
+def host_counts(lists: DataFrame) -> DataFrame:
+    """``host, n_links, n_docs`` of ``lists(hrefs)``, which has the targets of one document in each row.
+
+    One shuffle, of partial counts per host: a host that a third of all links
+    name reaches its task as a few of them.
     """
-    hosts = links.withColumn("host", F.regexp_extract(F.lower("href"), P.HOST, 1))
-    per_doc = hosts.where(F.col("host") != "").groupBy("host", "doc_id").agg(F.count("*").alias("n"))
-    return per_doc.groupBy("host").agg(F.sum("n").alias("n_links"), F.count("*").alias("n_docs"))
+    hosts = F.transform("hrefs", lambda href: F.regexp_extract(F.lower(href), P.HOST, 1))
+    named = F.filter(hosts, lambda host: host != "")
+    marks = lists.select(F.inline(occurrences(named)))
+    return marks.groupBy(F.col("value").alias("host")).agg(
+        F.sum("n").alias("n_links"), F.sum("d").alias("n_docs")
+    )
+
+
+def shared_links(docs: DataFrame) -> DataFrame:
+    """``url, n_docs`` of link targets that more than one document has."""
+    return _shared(docs.select(F.explode(F.array_distinct(hrefs_of(F.col("html")))).alias("url")))
+
 
+def shared_images(docs: DataFrame) -> DataFrame:
+    """``url, n_docs`` of images that more than one document shows; an image without source counts as NULL."""
+    sources = F.transform(images_of(F.col("html")), lambda tag: attribute(tag, "src"))
+    return _shared(docs.select(F.explode(F.array_distinct(sources)).alias("url")))
 
-def shared_assets(assets: DataFrame, column: str = "href") -> DataFrame:
-    """``url, n_docs`` of targets or images that more than one document uses."""
-    per_doc = assets.select(F.col(column).alias("url"), "doc_id").distinct()
-    used = per_doc.groupBy("url").agg(F.count("*").alias("n_docs"))
+
+def _shared(urls: DataFrame) -> DataFrame:
+    """Each url is listed once for a document, so one count per url is enough."""
+    used = urls.groupBy("url").agg(F.count(F.lit(1)).alias("n_docs"))
     return used.where(F.col("n_docs") > 1)
 
 
 def paired_links(
-    link_texts: DataFrame, before: str = P.BEFORE_LABEL, after: str = P.AFTER_LABEL
+    docs: DataFrame, before: str = P.BEFORE_LABEL, after: str = P.AFTER_LABEL
 ) -> DataFrame:
     """``doc_id, pair, before_href, after_href``: a "before" link and the "after" link next to it.
 
-    Only the labelled links are shuffled; a window holds one document's.
+    Neighbours are compared within the row.
     """
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    labelled = link_texts.where(F.col("text").isin(before, after))
-    following = labelled.select(
-        "doc_id",
-        "pos",
-        "text",
-        F.col("href").alias("before_href"),
-        F.lead("href").over(order).alias("after_href"),
-        F.lead("text").over(order).alias("next_text"),
-        F.lead("pos").over(order).alias("next_pos"),
-    )
-    adjacent = (
-        (F.col("text") == before)
-        & (F.col("next_text") == after)
-        & (F.col("next_pos") == F.col("pos") + 1)
-    )
-    return following.where(adjacent).select(
-        "doc_id", (F.row_number().over(order) - 1).alias("pair"), "before_href", "after_href"
+
+    def pairs(anchors: Column) -> Column:
+        neighbours = F.transform(
+            anchors, lambda link, i: F.struct(link.alias("link"), F.get(anchors, i + 1).alias("next"))
+        )
+        adjacent = F.filter(
+            neighbours,
+            lambda p: (p["link"]["text"] == before) & F.coalesce(p["next"]["text"] == after, F.lit(False)),
+        )
+        return F.transform(
+            adjacent,
+            lambda p: F.struct(p["link"]["href"].alias("before"), p["next"]["href"].alias("after")),
+        )
+
+    found = docs.select("doc_id", F.posexplode(let(anchors_of(F.col("html")), pairs)).alias("pair", "at"))
+    return found.select(
+        "doc_id", "pair", F.col("at.before").alias("before_href"), F.col("at.after").alias("after_href")
     )

@@ -2,38 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.functions import patterns as P
-from folioscan.functions.columns import all_matches, occurrences, squeeze, unquote
+from folioscan.functions.columns import all_matches, counts, markup, most_frequent, occurrences, squeeze, unquote
+
+
+def tags_of(html: Column) -> Column:
+    """Names of the opening tags, in order; none in comments and scripts."""
+    return F.transform(all_matches(markup(html), P.TAG_NAME), F.lower)
 
 
 def tag_histogram(docs: DataFrame) -> DataFrame:
     """``tag, n, n_docs``: one shuffle, of partial counts per tag."""
-    tags = F.transform(all_matches(F.col("html"), P.TAG_NAME), F.lower)
-    marks = docs.select(F.explode(occurrences(tags)).alias("m")).select("m.*")
+    marks = docs.select(F.inline(occurrences(tags_of(F.col("html")))))
     return marks.groupBy(F.col("value").alias("tag")).agg(
         F.sum("n").alias("n"), F.sum("d").alias("n_docs")
     )
 
 
 def doc_tags(docs: DataFrame) -> DataFrame:
-    """``doc_id, tag, n``."""
-    return (
-        docs.select("doc_id", F.explode(all_matches(F.col("html"), P.TAG_NAME)).alias("tag"))
-        .groupBy("doc_id", F.lower("tag").alias("tag"))
-        .agg(F.count("*").alias("n"))
-    )
+    """``doc_id, tag, n``; counted within the row."""
+    found = docs.select("doc_id", F.inline(counts(tags_of(F.col("html")))))
+    return found.withColumnRenamed("value", "tag")
+
+
+def top_tags(docs: DataFrame, k: int) -> DataFrame:
+    """``doc_id, tag, n, rank`` of the k most frequent tags of each document."""
+    return _top(docs, tags_of(F.col("html")), "tag", k)
 
 
 def nesting_depth(docs: DataFrame, tag: str) -> DataFrame:
     """``doc_id, max_depth`` of one tag: opening less closing marks, as written.
 
-    Folded within the row, so nothing is shuffled or sorted. Unclosed tags are
-    not repaired. A document without the tag has depth 0.
+    Folded within the row, so nothing is shuffled or sorted. Tags in comments and
+    scripts do not count; unclosed tags are not repaired. A document without the
+    tag has depth 0.
     """
-    marks = all_matches(F.col("html"), P.tag_edges(tag))
+    marks = all_matches(markup(F.col("html")), P.tag_edges(tag))
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("deepest"))
 
     def step(state: Column, mark: Column) -> Column:
@@ -44,34 +51,35 @@ def nesting_depth(docs: DataFrame, tag: str) -> DataFrame:
     return docs.select("doc_id", deepest.alias("max_depth"))
 
 
-def palette(docs: DataFrame) -> DataFrame:
-    """``doc_id, colour, n`` of six-digit colours."""
-    found = docs.select("doc_id", F.explode(all_matches(F.col("html"), P.COLOUR)).alias("colour"))
-    return (
-        found.where(F.col("colour") != "")
-        .groupBy("doc_id", F.lower("colour").alias("colour"))
-        .agg(F.count("*").alias("n"))
-    )
+def colours_of(html: Column) -> Column:
+    found = F.filter(all_matches(html, P.COLOUR), lambda colour: colour != "")
+    return F.transform(found, F.lower)
+
 
+def palette(docs: DataFrame) -> DataFrame:
+    """``doc_id, colour, n`` of six-digit colours; counted within the row."""
+    found = docs.select("doc_id", F.inline(counts(colours_of(F.col("html")))))
+    return found.withColumnRenamed("value", "colour")
 
-def top_per_doc(counts: DataFrame, value: str, k: int) -> DataFrame:
-    """The k most frequent values of each document; ties go to the smaller value.
 
-    Spark cuts each document to k rows before the shuffle as well.
-    """
-    order = Window.partitionBy("doc_id").orderBy(F.col("n").desc(), F.col(value))
-    ranked = counts.withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= k)
+def top_colours(docs: DataFrame, k: int) -> DataFrame:
+    """``doc_id, colour, n, rank`` of the k most frequent colours of each document."""
+    return _top(docs, colours_of(F.col("html")), "colour", k)
 
 
-def top_colours(palette: DataFrame, k: int) -> DataFrame:
-    """``doc_id, colour, n, rank``."""
-    return top_per_doc(palette, "colour", k)
+def _top(docs: DataFrame, values: Column, name: str, k: int) -> DataFrame:
+    found = docs.select("doc_id", F.posexplode(most_frequent(values, k)).alias("place", "at"))
+    return found.select(
+        "doc_id", F.col("at.value").alias(name), F.col("at.n").alias("n"), (F.col("place") + 1).alias("rank")
+    )
 
 
 def font_stacks(docs: DataFrame) -> DataFrame:
-    """``font_stack, n_docs``."""
-    stacks = F.array_distinct(F.transform(all_matches(F.col("html"), P.FONT_STACK), squeeze))
+    """``font_stack, n_docs`` of style attributes and style blocks."""
+    html = F.col("html")
+    attributes = F.transform(all_matches(markup(html), P.STYLE_ATTRIBUTE), unquote)
+    styles = F.array_join(F.concat(attributes, all_matches(html, P.STYLE_BLOCK)), ";")
+    stacks = F.array_distinct(F.transform(all_matches(styles, P.FONT_STACK), squeeze))
     return (
         docs.select(F.explode(stacks).alias("font_stack"))
         .groupBy("font_stack")
@@ -87,7 +95,7 @@ def defined_classes(html: Column) -> Column:
 
 def used_classes(html: Column) -> Column:
     """Class names in class attributes."""
-    values = F.transform(all_matches(html, P.CLASS_ATTRIBUTE), unquote)
+    values = F.transform(all_matches(markup(html), P.CLASS_ATTRIBUTE), unquote)
     return F.split(squeeze(F.array_join(values, " ")), " ")
 
 
@@ -99,6 +107,5 @@ def unused_classes(docs: DataFrame) -> DataFrame:
 
 def duplicate_rules(docs: DataFrame) -> DataFrame:
     """``doc_id, class, n`` of classes with more than one rule."""
-    rules = docs.select("doc_id", F.explode(defined_classes(F.col("html"))).alias("class"))
-    counted = rules.groupBy("doc_id", "class").agg(F.count("*").alias("n"))
-    return counted.where(F.col("n") > 1)
+    several = F.filter(counts(defined_classes(F.col("html"))), lambda rule: rule["n"] > 1)
+    return docs.select("doc_id", F.inline(several)).withColumnRenamed("value", "class")

@@ -17,7 +17,8 @@ def fill(html: Column, tag: str, value: Column) -> Column:
 def render(sends: DataFrame, docs: DataFrame, tags: Mapping[str, str]) -> DataFrame:
     """``recipient_id, doc_id, body`` for ``sends(recipient_id, doc_id, …)``.
 
-    ``tags`` maps a placeholder to the column of ``sends`` that fills it.
+    ``tags`` maps a placeholder to the column of ``sends`` that fills it. Every
+    recipient has a row; ``body`` is NULL where the document does not exist.
     Recipients meet their document in an equi-join, not a cross join. Spark
     broadcasts the documents where their measured size allows it; beyond that,
     a document sent to a large part of the recipients is split by adaptive
@@ -26,6 +27,6 @@ def render(sends: DataFrame, docs: DataFrame, tags: Mapping[str, str]) -> DataFr
     body = F.col("html")
     for tag, column in tags.items():
         body = fill(body, tag, F.col(column).cast("string"))
-    return sends.join(docs.select("doc_id", "html"), "doc_id").select(
+    return sends.join(docs.select("doc_id", "html"), "doc_id", "left").select(
         "recipient_id", "doc_id", body.alias("body")
     )

@@ -10,7 +10,7 @@ from folioscan.operators import extract, links, markup
 from folioscan.plans import query as q
 from folioscan.plans.query import Query
 from folioscan.session import scratch_path
-from folioscan.sources import read_pages, write_docs
+from folioscan.sources import read_pages, read_written, write_docs
 
 PAGES = "(SELECT page_id AS doc_id, html FROM pages)"
 
@@ -21,14 +21,15 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     urls = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return links.link_domains(urls.select(F.col("page_id").alias("doc_id"), F.col("url").alias("href")))
+    return links.host_counts(urls.select(F.array("url").alias("hrefs")))
 
 
 def written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus with its titles, written by language to the shared folder and read back."""
+    """The whole corpus, written by language to the shared folder and read back."""
     path = scratch_path(spark, "pages_by_lang")
-    write_docs(extract.doc_metadata(pages(spark, sf_dir)), path, by="lang")
-    return spark.read.parquet(path).select("doc_id", "title", "lang")
+    docs = pages(spark, sf_dir).withColumn("lang", extract.lang_of(F.col("html")))
+    write_docs(docs, path, by="lang")
+    return read_written(spark, path, docs.schema)
 
 
 METADATA_SQL = f"""
@@ -50,7 +51,7 @@ QUERIES = {
         lambda s, d: links.classify_links(extract.links(pages(s, d))), q.classified(q.links(PAGES))
     ),
     "shared_links": Query(
-        lambda s, d: links.shared_assets(extract.links(pages(s, d))),
+        lambda s, d: links.shared_links(pages(s, d)),
         f"""SELECT href AS url, count(DISTINCT doc_id) AS n_docs FROM ({q.links(PAGES)})
             GROUP BY href HAVING count(DISTINCT doc_id) > 1""",
     ),
@@ -79,7 +80,7 @@ QUERIES = {
     ),
     "doc_tags": Query(lambda s, d: markup.doc_tags(pages(s, d)), q.doc_tags(PAGES)),
     "top_tags": Query(
-        lambda s, d: markup.top_per_doc(markup.doc_tags(pages(s, d)), "tag", 3),
+        lambda s, d: markup.top_tags(pages(s, d), 3),
         q.top_per_doc(q.doc_tags(PAGES), "tag", 3),
     ),
     "nesting_depth_p": Query(
@@ -88,5 +89,8 @@ QUERIES = {
     "nesting_depth_b": Query(
         lambda s, d: markup.nesting_depth(pages(s, d), "b"), q.depth(PAGES, "b")
     ),
-    "write_docs": Query(written_and_read, METADATA_SQL),
+    "write_docs": Query(
+        written_and_read,
+        f"SELECT doc_id, html, coalesce({q.unquoted(q.extract('html', P.LANG))}, '') AS lang FROM {PAGES}",
+    ),
 }

@@ -55,8 +55,15 @@ def numbered(docs: str, values: str, name: str) -> str:
     )
 
 
+def markup(html: str) -> str:
+    """The document without comments and without what scripts and styles hold, in three steps."""
+    plain = f"regexp_replace({html}, '<!--.*?-->', '', 'gs')"
+    plain = f"regexp_replace({plain}, '(<script[^>]*>).*?</script', '\\1</script', 'gis')"
+    return f"regexp_replace({plain}, '(<style[^>]*>).*?</style', '\\1</style', 'gis')"
+
+
 def links(docs: str) -> str:
-    hrefs = f"list_transform({extract_all('html', P.ANCHOR_HREF)}, lambda x: {unquoted('x')})"
+    hrefs = f"list_transform({extract_all(markup('html'), P.ANCHOR_HREF)}, lambda x: {unquoted('x')})"
     return numbered(docs, hrefs, "href")
 
 
@@ -68,7 +75,7 @@ def link_texts(docs: str) -> str:
                {unquoted('raw')} AS href, text
         FROM (SELECT doc_id, i, {extract(tail, P.SEGMENT_HREF)} AS raw, {text} AS text
               FROM (SELECT doc_id, unnest(range(len(v))) AS i, unnest(v) AS s
-                    FROM (SELECT doc_id, regexp_split_to_array(html, {lit(P.ANCHOR_START)}) AS v
+                    FROM (SELECT doc_id, regexp_split_to_array({markup('html')}, {lit(P.ANCHOR_START)}) AS v
                           FROM {docs}))
               WHERE i > 0)
         WHERE raw <> ''"""
@@ -87,7 +94,7 @@ def classified(links_sql: str) -> str:
 def doc_tags(docs: str) -> str:
     return f"""
         SELECT doc_id, tag, count(*) AS n
-        FROM (SELECT doc_id, lower(unnest({extract_all('html', P.TAG_NAME)})) AS tag FROM {docs})
+        FROM (SELECT doc_id, lower(unnest({extract_all(markup('html'), P.TAG_NAME)})) AS tag FROM {docs})
         GROUP BY doc_id, tag"""
 
 
@@ -99,10 +106,15 @@ def top_per_doc(counts: str, value: str, k: int) -> str:
 
 
 def depth(docs: str, tag: str) -> str:
+    """Opening less closing tags, found by cutting the markup at every "<"."""
     return f"""
-        WITH m AS ({numbered(docs, extract_all('html', P.tag_edges(tag)), 'mark')}),
-             r AS (SELECT doc_id, sum(CASE WHEN mark = '' THEN 1 ELSE -1 END)
-                          OVER (PARTITION BY doc_id ORDER BY pos) AS depth FROM m),
+        WITH c AS (SELECT doc_id, unnest(string_split({markup('html')}, '<')) AS piece,
+                          generate_subscripts(string_split({markup('html')}, '<'), 1) AS place FROM {docs}),
+             m AS (SELECT doc_id, place, CASE WHEN piece LIKE '/%' THEN -1 ELSE 1 END AS step
+                   FROM c WHERE place > 1 AND contains(piece, '>')
+                     AND list_contains(['{tag}', '/{tag}'],
+                         lower(split_part(split_part(split_part(replace(piece, chr(10), ' '), '>', 1), ' ', 1), chr(9), 1)))),
+             r AS (SELECT doc_id, sum(step) OVER (PARTITION BY doc_id ORDER BY place) AS depth FROM m),
              d AS (SELECT doc_id, max(depth) AS deepest FROM r GROUP BY doc_id)
         SELECT doc_id, CAST(greatest(coalesce(deepest, 0), 0) AS INTEGER) AS max_depth
         FROM {docs} LEFT JOIN d USING (doc_id)"""

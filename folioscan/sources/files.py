@@ -5,53 +5,54 @@ The base table of the library is ``docs(doc_id, html)``, one row per document.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-FILE_NAME = r"([^/]+?)(?:\.html?)?$"
-FEW_SPLITS = 8
+import re
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core some documents where a small table comes in a few splits.
-
-    Text extraction is heavy per row, and one parquet row group is read by one
-    task. A table of more than ``FEW_SPLITS`` splits is left as it is, so at
-    most that many splits (1 GB with Spark's split size) are ever moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    return df.repartition(cores, "doc_id") if splits < cores and splits <= FEW_SPLITS else df
+PART = "part_"
+ENDING = r"\.html?$"
 
 
 def read_docs(
-    spark: SparkSession, path: str, glob: str = "*.htm*", name: str = FILE_NAME
+    spark: SparkSession, path: str, glob: str = "*.htm*", name: str | None = None
 ) -> DataFrame:
     """A folder tree of HTML files as ``doc_id, html``.
 
-    ``name`` is a pattern over the path of a file; its first group is the id, by
-    default the file name without its ending. One file is one row and cannot be
-    split, so a corpus of many small files is better rewritten once with
-    :func:`write_docs`. Spark skips files of no bytes.
+    The id is the path below ``path`` without its ending, so files of one name in
+    two folders stay apart. ``name`` may be a pattern over the whole path instead;
+    its first group is the id. One file is one row and cannot be split, so a corpus
+    of many small files is better packed once with :func:`write_docs`. Spark lists
+    no files of no bytes, so these have no row.
     """
     files = spark.read.text(
         path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True
     )
     # The path comes percent-encoded, with plus signs as they are.
-    path = F.try_url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
-    return files.select(
-        F.regexp_extract(path, name, 1).alias("doc_id"), F.col("value").alias("html")
-    )
+    found = F.try_url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    if name is None:
+        # From the last "<folder>/" of the root on; the scheme of both may be written differently.
+        root = re.escape("/" + re.sub(r"^[a-z][a-z0-9+.-]*:/*", "", path).strip("/") + "/")
+        doc_id = F.regexp_replace(F.regexp_replace(found, f"^.*?{root}", ""), ENDING, "")
+    else:
+        doc_id = F.regexp_extract(found, name, 1)
+    return files.select(doc_id.alias("doc_id"), F.col("value").alias("html"))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """A parquet table ``page_id, url, html`` as ``doc_id, html``."""
-    return spread(spark.read.parquet(path).select(F.col("page_id").alias("doc_id"), "html"))
+    return spark.read.parquet(path).select(F.col("page_id").alias("doc_id"), "html")
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """A parquet table of plain documents as ``doc_id, text``."""
-    return spread(spark.read.parquet(path).select("doc_id", "text"))
+    return spark.read.parquet(path).select("doc_id", "text")
+
+
+def read_written(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What :func:`write_docs` wrote of a table with this schema, unchanged."""
+    return spark.read.parquet(path).select(*schema.fieldNames())
 
 
 def write_docs(
@@ -62,18 +63,33 @@ def write_docs(
     rows_per_file: int = 0,
     rebalance: bool = False,
 ) -> None:
-    """Write a table as parquet, partitioned by ``by`` so that reads can prune.
+    """Write a table as parquet, partitioned by a copy of ``by`` so that reads can prune.
 
+    The copy is named ``part_<by>`` and holds the value as text behind a colon; the
+    column itself stays in the files, so that empty, numeric and missing values
+    come back as they were. Filter by the copy with :func:`in_part` to prune.
     The default shuffles nothing: each task writes one file per value it holds.
     ``rebalance`` lets adaptive execution gather each value first, into evenly
     sized files; a value holding a large part of the rows is split over several
     tasks rather than written by one.
     """
+    if by:
+        df = df.withColumn(PART + by, part_of(F.col(by)))
     if rebalance and by:
-        df = df.hint("rebalance", F.col(by))
+        df = df.hint("rebalance", F.col(PART + by))
     writer = df.write.mode(mode)
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
     if by:
-        writer = writer.partitionBy(by)
+        writer = writer.partitionBy(PART + by)
     writer.parquet(path)
+
+
+def part_of(value: Column) -> Column:
+    """The value as text behind a colon, which keeps Spark from reading it as a number or as missing."""
+    return F.concat(F.lit(":"), F.coalesce(value.cast("string"), F.lit("")))
+
+
+def in_part(by: str, value: object) -> Column:
+    """Condition on a table written with ``by`` that lets the scan skip other partitions."""
+    return (F.col(PART + by) == part_of(F.lit(value))) & (F.col(by) == value)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioscan.operators import audience, render
 
 START = datetime(2024, 1, 1)
+OLD = datetime(1901, 2, 3, 4, 5, 6, 7)
 
 
 def hours(n):
@@ -24,11 +25,12 @@ def test_followup_and_suppression(spark):
 
 def test_first_offer_of_the_unserved(spark):
     offers = spark.createDataFrame(
-        [(1, hours(2), 10), (1, hours(1), 12), (1, hours(1), 11), (2, hours(0), 13)],
+        [(1, hours(2), 10), (1, hours(1), 12), (1, hours(1), 11), (2, hours(0), 13), (3, OLD, 0), (3, OLD, 9)],
         "account_id long, offered_at timestamp_ntz, offer_id long",
     )
     served = spark.createDataFrame([(2,), (2,)], "account_id long")
-    assert list(map(tuple, audience.first_offer_only(offers, served).collect())) == [(1, hours(1), 11)]
+    found = sorted(map(tuple, audience.first_offer_only(offers, served).collect()))
+    assert found == [(1, hours(1), 11), (3, OLD, 0)]
 
 
 def test_rates_per_variant(spark):
@@ -63,4 +65,5 @@ def test_render_takes_values_literally(spark):
     assert body == {
         1: r"Hola $1 \0 {{url}}, u?a=1&b=2 u?a=1&b=2 {{other}}",
         2: "Hola , v v {{other}}",
+        3: None,
     }

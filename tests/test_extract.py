@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from folioscan.operators import audit, extract, links, markup
-from folioscan.sources import read_docs, write_docs
+from folioscan.sources import in_part, read_docs, read_written, write_docs
 
 
 def rows(df, *columns):
@@ -25,18 +27,48 @@ def test_file_names_may_hold_anything(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "ñ.htm").write_text("y")
     docs = read_docs(spark, str(tmp_path))
-    assert rows(docs, "doc_id", "html") == [("a+b 50%", "x"), ("ñ", "y")]
+    assert rows(docs, "doc_id", "html") == [("a+b 50%", "x"), ("sub/ñ", "y")]
+
+
+def test_files_of_one_name_stay_apart(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "index.html").write_text(folder)
+    assert rows(read_docs(spark, str(tmp_path)), "doc_id", "html") == [("a/index", "a"), ("b/index", "b")]
 
 
 def test_written_by_language_and_read_back(spark, mails, tmp_path):
-    meta = extract.doc_metadata(mails).where("lang <> ''")
+    langs = [("1", "x", "01"), ("2", "y", "1"), ("3", "", ""), ("4", "z", "es"), ("5", "w", None)]
+    docs = spark.createDataFrame(langs, "doc_id string, html string, lang string")
     for i, rebalance in enumerate((False, True)):
         path = str(tmp_path / str(i))
-        write_docs(meta, path, rebalance=rebalance)
-        back = spark.read.parquet(path)
-        assert rows(back, "doc_id", "title", "lang") == rows(meta, "doc_id", "title", "lang")
-        plan = back.where("lang = 'es'")._jdf.queryExecution().toString()
-        assert "PartitionFilters: [isnotnull(lang" in plan
+        write_docs(docs, path, rebalance=rebalance)
+        back = read_written(spark, path, docs.schema)
+        assert sorted(back.collect(), key=str) == sorted(docs.collect(), key=str)
+        found = spark.read.parquet(path).where(in_part("lang", "01"))
+        assert [r.doc_id for r in found.collect()] == ["1"]
+        assert "PartitionFilters: [isnotnull(part_lang" in found._jdf.queryExecution().toString()
+
+
+def test_markup_leaves_out_comments_scripts_and_styles(spark):
+    html = (
+        "<!-- <a href='/old'>x</a><img src='/old'> --><script>var t=\"</p><a href='/s'>\";</script>"
+        "<style>p{}</style><p><p><a href='/new'>Antes</a><img alt src=/i.png><div style='display:none'>Hola</div>"
+        "<p style='font-family:Arial'>Hola</p><p style=\"font-family:'A B',c\">"
+    )
+    docs = spark.createDataFrame([(1, html)], "doc_id long, html string")
+    assert rows(extract.links(docs), "pos", "href") == [(0, "/new")]
+    assert rows(extract.link_texts(docs), "pos", "href", "text") == [(0, "/new", "Antes")]
+    assert rows(extract.images(docs), "pos", "src", "alt") == [(0, "/i.png", None)]
+    assert rows(markup.nesting_depth(docs, "p"), "max_depth") == [(3,)]
+    tags = dict(rows(markup.doc_tags(docs), "tag", "n"))
+    assert tags == {"a": 1, "div": 1, "img": 1, "p": 4, "script": 1, "style": 1}
+    assert rows(extract.preheader(docs), "preheader") == [("Hola",)]
+    assert rows(markup.font_stacks(docs), "font_stack") == [("'A B',c",), ("Arial",)]
+    (checks,) = audit.audit(docs).collect()
+    assert checks.has_preheader and checks.images_have_alt
+    (bad,) = audit.audit(docs.withColumn("html", F.lit("<img title=' alt ' src=x>"))).collect()
+    assert not bad.images_have_alt
 
 
 def test_metadata(mails):
@@ -78,10 +110,10 @@ def test_mail_subjects_keep_plus_and_drop_bad_escapes(mails):
 
 
 def test_domains_and_shared_images(mails):
-    domains = rows(links.link_domains(extract.links(mails)), "host", "n_links", "n_docs")
+    domains = rows(links.link_domains(mails), "host", "n_links", "n_docs")
     assert domains == [("files.example.net", 18, 3), ("www.example.org", 3, 3)]
-    shared = links.shared_assets(extract.images(mails), "src")
-    assert rows(shared, "url", "n_docs") == [("https://img.example.org/logo.png", 3)]
+    assert rows(links.shared_images(mails), "url", "n_docs") == [("https://img.example.org/logo.png", 3)]
+    assert ("/otro", 3) in rows(links.shared_links(mails), "url", "n_docs")
 
 
 def test_images_tell_missing_attributes(mails):
@@ -91,7 +123,7 @@ def test_images_tell_missing_attributes(mails):
 
 
 def test_pairs_are_neighbours(mails):
-    pairs = links.paired_links(extract.link_texts(mails))
+    pairs = links.paired_links(mails)
     files = "https://files.example.net/"
     assert of(pairs, "base", "pair", "before_href", "after_href") == [
         (0, files + "a-1.pdf", files + "b-1.pdf"),
@@ -143,8 +175,10 @@ def test_tags_and_depth(mails):
 def test_colours_skip_character_references(mails):
     palette = markup.palette(mails)
     assert of(palette, "base", "colour", "n") == [("#102030", 2), ("#fafafa", 2)]
-    top = markup.top_colours(palette, 1)
+    top = markup.top_colours(mails, 1)
     assert of(top, "base", "colour", "n", "rank") == [("#102030", 2, 1)]
+    tags = markup.top_tags(mails, 2)
+    assert of(tags, "base", "rank", "tag", "n") == [(1, "a", 13), (2, "table", 4)]
 
 
 def test_fonts_and_classes(mails):

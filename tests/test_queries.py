@@ -7,8 +7,9 @@ import re
 import pytest
 
 import __spark_entry__ as entry_points
-from folioscan.operators import dedup, diff, extract, markup
+from folioscan.operators import audit, dedup, diff, extract, links, markup
 from folioscan.plans import ALL
+from folioscan.plans.pages import pages
 from folioscan.plans.texts import texts
 from tests.oracle import connect, differences
 
@@ -47,39 +48,59 @@ def test_staged_plans_hold_no_python_and_no_cross_join(spark, sf_dir, monkeypatc
     write = dedup.staged
     monkeypatch.setattr(dedup, "staged", lambda df, name: plans.append(plan_of(df)) or write(df, name))
     docs = texts(spark, sf_dir)
-    links = dedup.near_duplicates(docs, bucket_rows=1)
-    plans.append(plan_of(links))
-    plans.append(plan_of(dedup.version_family(links)))
-    plans.append(plan_of(diff.revision_diffs(docs, links)))
-    plans.append(plan_of(diff.line_changes(docs, links)))
+    copies = dedup.near_duplicates(docs, bucket_rows=1)
+    plans.append(plan_of(copies))
+    plans.append(plan_of(dedup.version_family(docs)))
+    plans.append(plan_of(diff.revision_diffs(docs, copies)))
+    plans.append(plan_of(diff.line_changes(docs, copies)))
     plans.append(plan_of(diff.revision_diff(docs, 0, 1)))
     assert len(plans) > 15
     assert not re.search("Python|Pandas|CartesianProduct|BroadcastNestedLoop", "\n".join(plans))
 
 
-def large_pages(spark, sf_dir):
-    """Pages as a large table would come: without the spreading of small inputs."""
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("page_id AS doc_id", "html")
-
-
 @pytest.mark.parametrize(
     "operator, exchanges",
     [
         (extract.links, 0),
+        (extract.images, 0),
         (extract.visible_text, 0),
+        (extract.merge_tags, 0),
         (lambda docs: markup.nesting_depth(docs, "p"), 0),
+        (markup.doc_tags, 0),
+        (lambda docs: markup.top_tags(docs, 3), 0),
+        (markup.palette, 0),
+        (lambda docs: markup.top_colours(docs, 2), 0),
         (markup.unused_classes, 0),
+        (markup.duplicate_rules, 0),
+        (links.paired_links, 0),
+        (audit.audit, 0),
         (markup.tag_histogram, 1),
+        (markup.font_stacks, 1),
+        (links.link_domains, 1),
+        (links.shared_links, 1),
+        (links.shared_images, 1),
         (extract.stats_by_language, 1),
     ],
 )
 def test_shuffles(spark, sf_dir, operator, exchanges):
-    plan = plan_of(operator(large_pages(spark, sf_dir)))
+    plan = plan_of(operator(pages(spark, sf_dir)))
+    assert len(re.findall(r"\bExchange\b", plan)) == exchanges
+
+
+@pytest.mark.parametrize("name, exchanges", [("links", 0), ("visible_text", 0), ("palette", 0), ("shared_links", 1)])
+def test_shuffles_of_registered_queries(spark, sf_dir, name, exchanges):
+    plan = plan_of(ALL[name].run(spark, sf_dir))
     assert len(re.findall(r"\bExchange\b", plan)) == exchanges
 
 
+def test_minima_need_no_sort(spark, sf_dir):
+    assert "SortAggregate" not in plan_of(ALL["first_offer_only"].run(spark, sf_dir))
+    found = spark.createDataFrame([(1, 2, 0.5)], "a long, b long, jaccard double")
+    assert "SortAggregate" not in plan_of(dedup._firsts(found))
+
+
 def test_only_needed_columns_are_read(spark, sf_dir):
-    assert "ReadSchema: struct<html:string>" in plan_of(markup.tag_histogram(large_pages(spark, sf_dir)))
+    assert "ReadSchema: struct<html:string>" in plan_of(markup.tag_histogram(pages(spark, sf_dir)))
     plan = plan_of(ALL["followup_audience"].run(spark, sf_dir))
     assert "EqualTo(event_type,view)" in plan
     assert "ReadSchema: struct<user_id:bigint,event_type:string>" in plan

@@ -63,10 +63,25 @@ def test_replies(spark, small_limits):
 
 def test_families(spark, small_limits):
     links = skewed(spark).where("id > 0 AND key = 0").select(F.col("key").alias("a"), F.col("id").alias("b"))
-    family = dedup.version_family(links)
+    family = dedup.linked_families(links)
     assert family.where("family = 0").count() == ROWS // 3
 
 
+def test_a_third_of_all_documents_near_copies(spark, small_limits, monkeypatch):
+    """Near copies and families of a hot group; the pairs compared stay about as many as documents."""
+    compared = []
+    compare = dedup._compared
+    monkeypatch.setattr(dedup, "_compared", lambda pairs, sets: compared.append(pairs.count()) or compare(pairs, sets))
+    common = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.concat(F.lit("w"), i)), " ")
+    own = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("d"), "id", F.lit("x"), i)), " ")
+    texts = spark.range(1500, numPartitions=4).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 3 == 0, F.concat(common, F.lit(" d"), "id")).otherwise(own).alias("text"),
+    )
+    assert dedup.version_family(texts).where("family = 0").count() == 500
+    assert sum(compared) < 1500
+
+
 def test_line_changes(spark, small_limits):
     pairs = skewed(spark).where("id > 0").select(F.col("key").alias("a"), F.col("id").alias("b"))
     texts = spark.range(ROWS).select(F.col("id").alias("doc_id"), F.concat(F.lit("line "), "id").alias("text"))

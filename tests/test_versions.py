@@ -113,17 +113,49 @@ def test_near_copies_of_mailings(mails):
 @pytest.mark.parametrize("n", [1, 2, 3, 9, 20])
 def test_families_follow_long_chains(spark, n):
     chain = [(i, i + 1) for i in range(n)] + [(100, 200), (100, 201), (200, 300)]
-    family = dedup.version_family(spark.createDataFrame(chain, "a long, b long"))
+    family = dedup.linked_families(spark.createDataFrame(chain, "a long, b long"))
     assert sorted(map(tuple, family.select("doc_id", "family").collect())) == sorted(
         [(i, 0) for i in range(n + 1)] + [(100, 100), (200, 100), (201, 100), (300, 100)]
     )
 
 
-def test_links_in_a_circle_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(dedup, "FAMILY_ROUNDS", 4)
-    links = spark.createDataFrame([(1, 2), (2, 1)], "a long, b long")
-    with pytest.raises(ValueError):
-        dedup.version_family(links)
+def test_links_may_form_a_circle(spark):
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "a long, b long")
+    assert sorted(map(tuple, dedup.linked_families(links).collect())) == [(1, 1), (2, 1), (3, 1)]
+
+
+def families_by_force(texts, threshold, k):
+    sets = [shingle_set(t, k) for t in texts]
+    family = list(range(len(texts)))
+
+    def root(x):
+        while family[x] != x:
+            x = family[x]
+        return x
+
+    linked = set()
+    for b, later in enumerate(sets):
+        for a in range(b):
+            if later and sets[a] and len(later & sets[a]) / len(later | sets[a]) >= threshold:
+                linked |= {a, b}
+                one, two = root(a), root(b)
+                family[max(one, two)] = min(one, two)
+    return sorted((x, root(x)) for x in linked)
+
+
+@pytest.mark.parametrize("seed, threshold", [(1, 0.5), (2, 0.5), (3, 0.8), (4, 0.6)])
+def test_families_join_all_links(spark, seed, threshold):
+    texts = corpus(seed)
+    got = dedup.version_family(frame(spark, texts), threshold)
+    assert sorted(map(tuple, got.select("doc_id", "family").collect())) == families_by_force(texts, threshold, 5)
+
+
+def test_a_document_like_a_later_one_only(spark):
+    """The third text repeats the first and the second, which are unlike each other."""
+    one, two = ([f"{x}{i}" for i in range(20)] for x in "ab")
+    texts = [" ".join(one), " ".join(two), " ".join(one + two)]
+    got = dedup.version_family(frame(spark, texts), 0.4)
+    assert sorted(map(tuple, got.collect())) == [(0, 0), (1, 0), (2, 0)]
 
 
 def test_similarity_of_given_pairs(spark):
@@ -134,7 +166,8 @@ def test_similarity_of_given_pairs(spark):
 
 
 def test_no_links_no_families(spark):
-    assert dedup.version_family(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert dedup.linked_families(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert dedup.version_family(frame(spark, ["a b c d e f", "g h i j k l"])).count() == 0
 
 
 def test_differences_by_position(spark):
@@ -146,6 +179,25 @@ def test_differences_by_position(spark):
 
 
 def test_differences_wherever_they_stand(spark):
-    texts = frame(spark, ["a\nb\nb", "b\na"])
-    pairs = spark.createDataFrame([(0, 1)], "a long, b long")
-    assert list(map(tuple, diff.line_changes(texts, pairs).collect())) == [(0, 1, "b", 2, 1)]
+    texts = frame(spark, ["a\nb\nb", "b\na", "c\nc\na\n", ""])
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (3, 1)], "a long, b long")
+    got = sorted(map(tuple, diff.line_changes(texts, pairs).collect()))
+    assert got == [
+        (0, 1, "b", 2, 1),
+        (0, 2, "", 0, 1),
+        (0, 2, "b", 2, 0),
+        (0, 2, "c", 0, 2),
+        (3, 1, "", 1, 0),
+        (3, 1, "a", 0, 1),
+        (3, 1, "b", 0, 1),
+    ]
+
+
+def test_differences_with_a_missing_document(spark):
+    texts = frame(spark, ["a\nb"])
+    pairs = spark.createDataFrame([(0, 9), (9, 0), (8, 9)], "a long, b long")
+    lines = sorted(map(tuple, diff.revision_diffs(texts, pairs).collect()))
+    assert lines == [(0, 9, 0, "a", "a"), (0, 9, 1, "a", "b"), (9, 0, 0, "b", "a"), (9, 0, 1, "b", "b")]
+    assert sorted(map(tuple, diff.revision_diff(texts, 0, 9).collect())) == [(0, "a", "a"), (1, "a", "b")]
+    changes = sorted(map(tuple, diff.line_changes(texts, pairs).collect()))
+    assert changes == [(0, 9, "a", 1, 0), (0, 9, "b", 1, 0), (9, 0, "a", 0, 1), (9, 0, "b", 0, 1)]
