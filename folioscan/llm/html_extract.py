@@ -7,8 +7,8 @@ classes come from one aggregation, and a host with a third of all pages is no
 harder than others. The class of tokens that stand once on nearly every page is the
 host's template; its tags, nested, cut a page into elements and slots. The slot of
 the article is the template's ``article`` or ``main`` element or, failing that, the
-innermost element that holds most of the text. Inside it, runs of the template's
-class are dropped, and so are elements that by tag, role, class or id are menus,
+innermost element that holds most of the text. Inside it, blocks of nothing but the
+template's runs are dropped, and so are elements that by tag, role, class or id are menus,
 headers, footers, sidebars, notices, adverts, forms or comments; the rest is the
 text. Hosts with few pages use the template of all pages together.
 
@@ -186,7 +186,7 @@ def main_text(html: str, tags: set[int], runs: set[int]) -> str:
     if not page:
         return ""
     parts, dropped = elements(page)
-    blocks: list[list[str]] = [[]]
+    blocks: list[list[Token]] = [[]]
     for first, last in region(page, parts, dropped, tags):
         blocks.append([])
         for at in range(first, last):
@@ -194,9 +194,10 @@ def main_text(html: str, tags: set[int], runs: set[int]) -> str:
             if token.name:
                 if token.name not in INLINE:
                     blocks.append([])
-            elif not dropped[at] and not (runs and token.key() in runs):
-                blocks[-1].append(unescape(token.text))
-    lines = (SPACES.sub(" ", "".join(block)).strip() for block in blocks)
+            elif not dropped[at]:
+                blocks[-1].append(token)
+    own = (b for b in blocks if not (runs and all(token.key() in runs for token in b)))
+    lines = (SPACES.sub(" ", "".join(unescape(token.text) for token in b)).strip() for b in own)
     return "\n".join(line for line in lines if line)
 
 
