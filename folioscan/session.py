@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folder: str | None = None
+_scopes: list[list[str]] = []
 
 
 def local_session(cpus: str = "8", memory: str = "12g") -> SparkSession:
@@ -44,9 +47,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, under the id of the application.
 
     Results are read from staged tables until they are consumed, so nothing is
-    deleted here; the folder of an application can go once it has ended.
+    deleted here: see :func:`temporary_tables`.
     """
-    return f"{shared_folder(spark)}/folioscan-{spark.conf.get('spark.app.id')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/folioscan-{spark.conf.get('spark.app.id')}/{name}-{uuid.uuid4().hex}"
+    for paths in _scopes:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what is staged inside; consume or write results before that.
+
+        with temporary_tables(spark):
+            near_duplicates(texts).write.parquet(path)
+    """
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        for path in paths:
+            place = hadoop(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
