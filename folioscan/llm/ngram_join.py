@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.llm.common import by_batch, texts_of
-from folioscan.llm.components import components
+from folioscan.operators.components import components
 from folioscan.llm.shingles import mixed, shingles
 from folioscan.session import staged
 
@@ -45,8 +45,8 @@ SIZE = 4
 SHARE = 85
 #: Entries of the first order that a task holds before it sends them on.
 HELD = 2_000_000
-#: Entries of the first order that one group of buckets gets, about.
-BUCKET = 500_000
+#: Entries that one bucket gets, about.
+BUCKET = 50_000
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -203,24 +203,30 @@ def candidates_by_hash(documents: DataFrame, sizes: DataFrame, size: int) -> Dat
 
 def sets_of(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """``node, n, tokens, second, third``: the sets of wanted nodes, and their first tokens by two orders."""
-    chosen = wanted.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
+    # Without the hint the plan would change with the size of the corpus: only a small
+    # one's nodes fit a broadcast. The hash table is that of the few wanted nodes.
+    chosen = wanted.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).hint("shuffle_hash")
     texts = documents.join(chosen, documents["doc_id"].eqNullSafe(chosen["_id"])).select("text", "_node")
 
-    def compute(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for text, node in zip(texts_of(batch), batch.column("_node").to_pylist()):
-            tokens = shingles(text, size)
-            if len(tokens) and node_of(tokens) == node:
-                second, third = (first_tokens(tokens, salt).tolist() for salt in (1, 2))
-                rows.append((node, len(tokens), tokens.view(np.int64).tolist(), second, third))
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
-        columns = list(zip(*rows)) if rows else [()] * 5
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds)], ["node", "n", "tokens", "second", "third"]
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The rows of an id are in one task, and so are repeated ones.
+        seen: set[int] = set()
+        for batch in batches:
+            rows = []
+            for text, node in zip(texts_of(batch), batch.column("_node").to_pylist()):
+                tokens = shingles(text, size) if node not in seen else ()
+                if len(tokens) and node_of(tokens) == node:
+                    seen.add(node)
+                    second, third = (first_tokens(tokens, salt).tolist() for salt in (1, 2))
+                    rows.append((node, len(tokens), tokens.view(np.int64).tolist(), second, third))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            columns = list(zip(*rows)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)], ["node", "n", "tokens", "second", "third"]
+            )
 
     schema = "node long, n long, tokens array<long>, second array<int>, third array<int>"
-    return by_batch(texts, compute, schema)
+    return texts.mapInArrow(run, schema)
 
 
 def with_enough_shared(sets: DataFrame) -> DataFrame:
@@ -242,7 +248,7 @@ def by_frequency(sets: DataFrame) -> DataFrame:
     ``left`` counts the tokens from this one on that other sets have too, ``own``
     the thousandths of tokens that no other set has.
     """
-    tokens = staged(sets.select("node", "n", F.explode("tokens").alias("token")).distinct(), "tokens")
+    tokens = staged(sets.select("node", "n", F.explode("tokens").alias("token")), "tokens")
     often = staged(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
     placed = tokens.join(often, "token")
     by_node = Window.partitionBy("node")
