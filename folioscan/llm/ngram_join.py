@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import by_batch, texts_of
+from folioscan.llm.common import by_batch, slices, texts_of
 from folioscan.operators.components import components
 from folioscan.llm.shingles import mixed, shingles
 from folioscan.session import staged
@@ -44,9 +44,9 @@ SIZE = 4
 #: Least similarity in hundredths.
 SHARE = 85
 #: Entries of the first order that a task holds before it sends them on.
-HELD = 2_000_000
+HELD = 1_000_000
 #: Entries that one bucket gets, about.
-BUCKET = 50_000
+BUCKET = 5_000
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -172,7 +172,7 @@ def shared_counts(sets: DataFrame, compute: Callable, n_entries: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         outbox = Outbox(n_buckets)
-        for batch in batches:
+        for batch in slices(batches):
             for node, tokens in compute(batch):
                 outbox.add(tokens, node)
                 if outbox.held >= HELD:
@@ -211,7 +211,7 @@ def sets_of(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The rows of an id are in one task, and so are repeated ones.
         seen: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text, node in zip(texts_of(batch), batch.column("_node").to_pylist()):
                 tokens = shingles(text, size) if node not in seen else ()
