@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: Rows that Python works on at a time.
+ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -65,15 +69,27 @@ def rows_of(documents: DataFrame, ids: dict, kind: str) -> DataFrame:
 def by_batch(
     df: DataFrame, compute: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType
 ) -> DataFrame:
-    """Apply ``compute`` to each Arrow batch of each partition."""
+    """Apply ``compute`` to the rows of each partition, some at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield compute(batch)
 
     return df.mapInArrow(run, schema)
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of ``ROWS`` rows; what a task has used is given back at its end.
+
+    Whole batches of long texts would be held several times over, as Arrow data and
+    as Python objects, and a worker goes on to other tasks with the memory it took.
+    """
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            yield batch.slice(start, ROWS)
+    pa.default_memory_pool().release_unused()
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch, null as empty."""
     return [value or "" for value in batch.column(column).to_pylist()]

@@ -21,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.session import staged
+
 WINDOW = 13
 NEEDED = 11
 LEAST = 5
@@ -171,8 +173,13 @@ def compared(blocks: DataFrame) -> DataFrame:
 
 
 def without_repeated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that repeat no item; a document without an id is kept if no such one does."""
-    found = repeated_items(documents, benchmark).select(F.col("doc_id").alias("_id")).distinct()
+    """The documents that repeat no item; a document without an id is kept if no such one does.
+
+    The ids found are written first: Spark then knows their size before it decides
+    whether the texts have to move.
+    """
+    ids = repeated_items(documents, benchmark).select(F.col("doc_id").alias("_id")).distinct()
+    found = staged(ids, "repeated")
     return documents.join(found, documents["doc_id"].eqNullSafe(found["_id"]), "left_anti")
 
 

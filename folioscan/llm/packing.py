@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import texts_of
+from folioscan.llm.common import slices, texts_of
 from folioscan.llm.token_counts import Pieces
 from folioscan.session import staged
 
@@ -78,7 +78,7 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY) -> DataFra
         context = TaskContext.get()
         part = context.partitionId() if context else 0
         seen: dict[int, int] = {}
-        for batch in batches:
+        for batch in slices(batches):
             columns: list[list] = [[] for _ in range(7)]
             encoded = ids_of(path).all(texts_of(batch))
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded):
@@ -93,6 +93,8 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY) -> DataFra
                 [pa.array(c, k) for c, k in zip(columns, kinds)],
                 ["doc_id", "piece", "start", "length", "ids_crc32", "part", "place"],
             )
+        # The worker goes on to tasks of other stages; they need the memory.
+        ids_of(path).kept.clear()
 
     return documents.select("doc_id", "text").mapInArrow(run, PIECES)
 

@@ -39,7 +39,7 @@ def pieces(text: str, library: Callable | None = None) -> list[str]:
 class Kept(dict):
     """Results by piece; emptied when full, so that a task's memory is bounded."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 300_000):
         super().__init__()
         self.most = most
 

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hash a Python worker keeps.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 100_000
 MIXERS = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
