@@ -31,7 +31,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import by_batch
+from folioscan.llm.common import by_batch, slices
+from folioscan.session import staged
 
 #: A host needs so many pages for a template of its own.
 OWN_PAGES = 5
@@ -42,6 +43,8 @@ RUN_PAGES = 10
 #: Share of the text that an element must hold to be the article's where no tag says so.
 MOST_TEXT = 0.8
 EVERY_HOST = ""
+#: Most tokens of templates that are sent to every executor (8 bytes each).
+BROADCAST_TOKENS = 1_000_000
 
 # Kinds of elements in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -243,7 +246,7 @@ def templates(pages: DataFrame) -> DataFrame:
     Classes are told by the number of pages and a checksum over pages and counts.
     """
     by_token = ["token", "is_run"]
-    found = (
+    found = staged(
         occurrences(pages)
         .groupBy("host", *by_token)
         .agg(
@@ -251,6 +254,9 @@ def templates(pages: DataFrame) -> DataFrame:
             F.bit_xor(F.xxhash64("page", "n")).alias("vector"),
             F.max("n").alias("most"),
         )
+        # A token of one page says nothing of a template; 0 counts the pages.
+        .where((F.col("n_pages") > 1) | ~F.col("is_run")),
+        "tokens",
     )
     everywhere = (
         found.where(~F.col("is_run") & (F.col("most") == 1))
@@ -279,16 +285,18 @@ def templates(pages: DataFrame) -> DataFrame:
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
-    found = templates(pages)
+    found = staged(templates(pages), "templates")
     every = found.where(F.col("host") == EVERY_HOST).collect()
     general = set(every[0]["tags"]) if every else set()
     given = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
-    with_template = given.join(found.where(F.col("host") != EVERY_HOST), "host", "left").select(
-        "page_id", "url", "html", "tags", "runs"
-    )
+    own = found.where(F.col("host") != EVERY_HOST)
+    size = own.agg(F.sum(1 + F.size("tags") + F.size("runs"))).first()[0] or 0
+    # Beyond the bound the pages are dealt by host, and adaptive execution splits large hosts.
+    own = F.broadcast(own) if size <= BROADCAST_TOKENS else own
+    with_template = given.join(own, "host", "left").select("page_id", "url", "html", "tags", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             html, tags, runs = (batch.column(i).to_pylist() for i in (2, 3, 4))
             texts = [
                 main_text(h, set(t) if t is not None else general, set(r or ()))
