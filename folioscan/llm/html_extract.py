@@ -53,15 +53,24 @@ DROPPED = frozenset(
     "head script style noscript template nav footer aside form button select textarea iframe svg dialog menu".split()
 )
 ARTICLE = frozenset(["article", "main"])
+#: Elements that no class, id or role takes out.
+KEPT = ARTICLE | {"body", "html"}
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp "
     "small span strike strong sub sup time tt u var wbr".split()
 )
-NOT_CONTENT = re.compile(
-    r"(?<![a-z])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|gdpr"
+#: Parts of class, id and role that name no content, and parts that may stand beside them.
+NO_CONTENT = (
+    r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|gdpr"
     r"|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promo\w*|related"
-    r"|replies|respond|share|sharing|sidebar|signup|site-?header|social|sponsor\w*|subscribe|toolbar|widgets?)(?![a-z])"
+    r"|replies|respond|share|sharing|sidebar|signup|site-?header|social|sponsor\w*|subscribe|toolbar|widgets?)"
 )
+BESIDE = (
+    r"(?:area|bar|block|bottom|box|buttons?|container|form|group|icons?|inner|items?|left|links?|list|main|outer"
+    r"|posts?|primary|right|secondary|section|site|slot|thread|top|wrap|wrapper|\d+)"
+)
+#: A whole word of class, id or role: ``no-sidebar`` and ``share-price`` name something else.
+NOT_CONTENT = re.compile(rf"(?:{BESIDE}[-_]+)*{NO_CONTENT}(?:[-_]+(?:{NO_CONTENT}|{BESIDE}))*")
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?"
@@ -73,6 +82,7 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(
     r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I
 )
+MARK_NAME = re.compile(r"(?:^|(?<=\s))(?:class|id|role)=")
 SPACES = re.compile(r"\s+")
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
@@ -116,7 +126,9 @@ def tokens(html: str) -> list[Token]:
 def not_content(token: Token) -> bool:
     if token.name in DROPPED or (token.name == "header" and "entry" not in token.marks):
         return True
-    return bool(token.marks and token.name not in ("body", "html") and NOT_CONTENT.search(token.marks))
+    if not token.marks or token.name in KEPT:
+        return False
+    return any(map(NOT_CONTENT.fullmatch, MARK_NAME.sub(" ", token.marks).split()))
 
 
 class Element(NamedTuple):

@@ -502,6 +502,17 @@ def test_template_of_pages_without_article(spark):
         assert r["text"].split("\n") == (want if i < 99 else [*want, "Always the same line"])
 
 
+@pytest.mark.parametrize(
+    "marks", ["post no-sidebar", "content has-sidebar", "post comments-open", "has_comments", "share-price", "related-work"]
+)
+def test_only_whole_words_of_a_class_name_no_content(marks):
+    page = f"<body><div class='{marks}'><article class='{marks}'><p>One</p><section id='{marks}'><p>Two</p></section>"
+    page += "<div class='post sidebar'>no</div><div id='related-posts'>no</div></article></div></body>"
+    assert html_extract.main_text(page, set(), set()) == "One\nTwo"
+    for name in ("article", "main"):
+        assert html_extract.main_text(f"<{name} class='comments'><p>One</p></{name}>", set(), set()) == "One"
+
+
 # The pipeline.
 
 
