@@ -36,7 +36,7 @@ from folioscan.session import staged
 
 #: A host needs so many pages for a template of its own.
 OWN_PAGES = 5
-#: A class is the template's if it stands once on so large a share of the pages.
+#: A class is the template's if it stands equally often on so large a share of the pages.
 SUPPORT = 0.9
 #: A run of text belongs to the template if the host has so many pages at least.
 RUN_PAGES = 10
@@ -255,32 +255,35 @@ def occurrences(pages: DataFrame) -> DataFrame:
 def templates(pages: DataFrame) -> DataFrame:
     """``host, tags, runs``: the tokens of each host's template; ``EVERY_HOST`` has that of all.
 
-    Classes are told by the number of pages and a checksum over pages and counts.
+    A token counts with the pages that hold it as often as most do, so that a page
+    on which a line stands once more takes it out of no template. Classes are told
+    by that number and by the number of pages and a checksum over them.
     """
     by_token = ["token", "is_run"]
     found = staged(
         occurrences(pages)
-        .groupBy("host", *by_token)
-        .agg(
-            F.count(F.lit(1)).alias("n_pages"),
-            F.bit_xor(F.xxhash64("page", "n")).alias("vector"),
-            F.max("n").alias("most"),
-        )
+        .groupBy("host", *by_token, "n")
+        .agg(F.count(F.lit(1)).alias("n_pages"), F.bit_xor(F.xxhash64("page")).alias("vector"))
         # A token of one page says nothing of a template; 0 counts the pages.
         .where((F.col("n_pages") > 1) | ~F.col("is_run")),
         "tokens",
     )
     everywhere = (
-        found.where(~F.col("is_run") & (F.col("most") == 1))
-        .groupBy(*by_token)
-        .agg(F.sum("n_pages").alias("n_pages"), F.bit_xor("vector").alias("vector"), F.max("most").alias("most"))
-        .select(F.lit(EVERY_HOST).alias("host"), *by_token, "n_pages", "vector", "most")
+        found.where(~F.col("is_run"))
+        .groupBy(*by_token, "n")
+        .agg(F.sum("n_pages").alias("n_pages"), F.bit_xor("vector").alias("vector"))
+        .select(F.lit(EVERY_HOST).alias("host"), *by_token, "n", "n_pages", "vector")
     )
     named = found.where(F.col("host") != EVERY_HOST).unionByName(everywhere)
     pages_of = named.where(F.col("token") == 0).select("host", F.col("n_pages").alias("of"))
-    once = named.where((F.col("most") == 1) & (F.col("n_pages") > 1) & (F.col("token") != 0))
+    often = (
+        named.where((F.col("n_pages") > 1) & (F.col("token") != 0))
+        .groupBy("host", *by_token)
+        .agg(F.max(F.struct("n_pages", -F.col("n"), "n", "vector")).alias("most"))
+        .select("host", *by_token, "most.n", "most.n_pages", "most.vector")
+    )
     classes = (
-        once.groupBy("host", "vector", "n_pages")
+        often.groupBy("host", "n", "vector", "n_pages")
         .agg(
             F.collect_list(F.when(~F.col("is_run"), F.col("token"))).alias("tags"),
             F.collect_list(F.when(F.col("is_run"), F.col("token"))).alias("runs"),
@@ -289,9 +292,11 @@ def templates(pages: DataFrame) -> DataFrame:
         .where(F.col("n_pages") >= SUPPORT * F.col("of"))
         .where((F.col("of") >= OWN_PAGES) | (F.col("host") == EVERY_HOST))
     )
+    # Tags that stand several times on a page enclose nothing that is there once.
+    tags = F.when(F.col("n") == 1, F.col("tags")).otherwise(F.array().cast("array<bigint>"))
     runs = F.when(F.col("of") >= RUN_PAGES, F.col("runs")).otherwise(F.array().cast("array<bigint>"))
     return classes.groupBy("host").agg(
-        F.flatten(F.collect_list("tags")).alias("tags"), F.flatten(F.collect_list(runs)).alias("runs")
+        F.flatten(F.collect_list(tags)).alias("tags"), F.flatten(F.collect_list(runs)).alias("runs")
     )
 
 

@@ -502,6 +502,26 @@ def test_template_of_pages_without_article(spark):
         assert r["text"].split("\n") == (want if i < 99 else [*want, "Always the same line"])
 
 
+def host_texts(spark, bodies: list[str]) -> dict:
+    """The text of each body as a page of one host."""
+    rows = [(i, f"http://host.example/{i}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    found = html_extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return {r["page_id"]: r["text"] for r in found}
+
+
+def test_lines_that_stand_twice_are_the_templates_too(spark):
+    own = [data.prose(i, 40) for i in range(20)]
+    body = "<div class='wrap'><p>Share this</p><div class='post'><p>{}</p><p>Once</p>{}</div><p>Share this</p></div>"
+    # On one page the line that stands once elsewhere stands twice; another line stands twice on every page.
+    got = host_texts(spark, [body.format(text, "<p>Once</p>" * (i == 7)) for i, text in enumerate(own)])
+    assert got == dict(enumerate(own))
+    # The same for the tags that enclose the article.
+    body = "<p>Menu of {0}</p><div class='post'><p>{1}</p></div><p>Seen {0} times</p>"
+    more = [body.format(i, text) + "<div class='post'>x</div>" * (i == 7) for i, text in enumerate(own)]
+    got = host_texts(spark, more)
+    assert {i: x for i, x in got.items() if i != 7} == {i: x for i, x in enumerate(own) if i != 7}
+
+
 @pytest.mark.parametrize(
     "marks", ["post no-sidebar", "content has-sidebar", "post comments-open", "has_comments", "share-price", "related-work"]
 )
