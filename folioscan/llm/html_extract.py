@@ -216,6 +216,18 @@ def main_text(html: str, tags: set[int], runs: set[int]) -> str:
     return "\n".join(line for line in lines if line)
 
 
+def content_key(page: list[Token]) -> int:
+    """A digest of the runs of text that seem to be the article's, before any template is known."""
+    parts, dropped = elements(page)
+    every = {token.key() for token in page if token.name}
+    digest = xxhash.xxh3_64()
+    for first, last in region(page, parts, dropped, every):
+        for at in range(first, last):
+            if not page[at].name and not dropped[at]:
+                digest.update(SPACES.sub(" ", page[at].text).strip().encode("utf-8", "surrogatepass") + b"\0")
+    return digest.intdigest() - (1 << 63)
+
+
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
 
@@ -223,15 +235,18 @@ def host_of(url: Column) -> Column:
 def occurrences(pages: DataFrame) -> DataFrame:
     """``host, page, token, is_run, n``: how often each token stands on a page.
 
-    Token 0 stands for the page itself.
+    Pages of a host with the same article count as one, so that copies of an article do
+    not make it a template; the copy with a token fewest times says how often. Token 0
+    stands for the page itself.
     """
-    given = pages.select(host_of(F.col("url")).alias("host"), "page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    given = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
 
     def compute(batch: pa.RecordBatch) -> pa.RecordBatch:
         hosts, keys, names, is_run, counts = [], [], [], [], []
-        for host, page_id, url, html in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            key = xxhash.xxh3_64_intdigest(f"{page_id} {url} {html}".encode("utf-8", "surrogatepass")) - (1 << 63)
-            found = Counter((token.key(), not token.name) for token in tokens(html))
+        for host, html in zip(*(batch.column(i).to_pylist() for i in range(2))):
+            page = tokens(html)
+            key = content_key(page)
+            found = Counter((token.key(), not token.name) for token in page)
             found[0, False] = 1
             hosts += [host] * len(found)
             keys += [key] * len(found)
@@ -249,7 +264,8 @@ def occurrences(pages: DataFrame) -> DataFrame:
             ["host", "page", "token", "is_run", "n"],
         )
 
-    return by_batch(given, compute, "host string, page long, token long, is_run boolean, n int")
+    found = by_batch(given, compute, "host string, page long, token long, is_run boolean, n int")
+    return found.groupBy("host", "page", "token", "is_run").agg(F.min("n").alias("n"))
 
 
 def templates(pages: DataFrame) -> DataFrame:

@@ -522,6 +522,20 @@ def test_lines_that_stand_twice_are_the_templates_too(spark):
     assert {i: x for i, x in got.items() if i != 7} == {i: x for i, x in enumerate(own) if i != 7}
 
 
+def test_copies_of_an_article_are_no_template(spark):
+    own = [data.prose(i, 40) for i in range(12)]
+    article = "<article><h1>Head</h1><p>{}</p><p>Second</p></article>"
+    copies = [f"<p>Seen {i} times</p>" + article.format(own[0]) for i in range(30)]
+    copied = f"Head\n{own[0]}\nSecond"
+    assert set(host_texts(spark, copies).values()) == {copied}
+    # Repeated rows, and no article to go by.
+    assert set(host_texts(spark, [f"<div><p>{own[0]}</p><p>Second</p></div>"] * 30).values()) == {f"{own[0]}\nSecond"}
+    # Beside copies, lines of different articles are the template's as before.
+    got = host_texts(spark, copies + [article.format(text).replace("<h1>Head</h1>", f"<h1>{i}</h1>") for i, text in enumerate(own)])
+    assert {got[i] for i in range(30)} == {f"Head\n{own[0]}"}
+    assert [got[30 + i] for i in range(12)] == [f"{i}\n{text}" for i, text in enumerate(own)]
+
+
 @pytest.mark.parametrize(
     "marks", ["post no-sidebar", "content has-sidebar", "post comments-open", "has_comments", "share-price", "related-work"]
 )
