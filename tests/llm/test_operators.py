@@ -522,6 +522,32 @@ def test_lines_that_stand_twice_are_the_templates_too(spark):
     assert {i: x for i, x in got.items() if i != 7} == {i: x for i, x in enumerate(own) if i != 7}
 
 
+def test_the_template_finds_the_slot_of_the_text(spark):
+    own = [data.prose(i, 40) for i in range(20)]
+    # The only article is a teaser; the text is in another slot.
+    body = "<article><p>Tip {0}</p></article><div class='post'><p>{1}</p></div>"
+    got = host_texts(spark, [body.format(i, text) for i, text in enumerate(own)])
+    assert got == dict(enumerate(own))
+    # The text stands in an element whose name says that it is none.
+    body = "<nav>Menu {0}</nav><form><div class='sidebar'><p>{1}</p></div></form>"
+    got = host_texts(spark, [body.format(i, text) for i, text in enumerate(own)])
+    assert got == dict(enumerate(own))
+
+
+def test_lines_nest_in_one_slot_of_the_template(spark):
+    """A line that all pages have, now in one slot and now in another, is no part of the template."""
+    own = [data.prose(i, 40) for i in range(20)]
+    body = "<article><div class='a'><p>{}</p></div><div class='b'><p>{}</p></div><p>Always here</p></article>"
+    pair = lambda i, text: (f"{text}</p><p>So it is", f"End {i}") if i % 2 else (text, f"End {i}</p><p>So it is")
+    got = host_texts(spark, [body.format(*pair(i, text)) for i, text in enumerate(own)])
+    assert got == {i: f"{text}\nSo it is\nEnd {i}" if i % 2 else f"{text}\nEnd {i}\nSo it is" for i, text in enumerate(own)}
+
+
+def test_order_of_the_core():
+    assert html_extract.in_order([0, 1, 7, 2, 3, 4, 4, 9]) == [True, True, False, True, True, False, True, True]
+    assert html_extract.in_order([]) == []
+
+
 def test_copies_of_an_article_are_no_template(spark):
     own = [data.prose(i, 40) for i in range(12)]
     article = "<article><h1>Head</h1><p>{}</p><p>Second</p></article>"
