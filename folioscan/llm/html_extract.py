@@ -24,9 +24,11 @@ An empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 from typing import NamedTuple
 
@@ -96,7 +98,8 @@ ATTRIBUTE = re.compile(
     r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I
 )
 MARK_NAME = re.compile(r"(?:^|(?<=\s))(?:class|id|role)=")
-SPACES = re.compile(r"\s+")
+#: Longest attributes of a tag that is kept once it is parsed.
+KEPT_LENGTH = 300
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
@@ -110,11 +113,25 @@ class Token(NamedTuple):
 
     def key(self) -> int:
         """Signed 64 bits that tell tokens apart."""
-        if self.name:
-            shown = f"<{'' if self.opens else '/'}{self.name} {self.marks}>"
-        else:
-            shown = SPACES.sub(" ", self.text)
-        return xxhash.xxh3_64_intdigest(shown.encode("utf-8", "surrogatepass")) - (1 << 63)
+        return tag_key(self) if self.name else key_of(" ".join(self.text.split()))
+
+
+def key_of(shown: str) -> int:
+    return xxhash.xxh3_64_intdigest(shown.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+@lru_cache(1 << 14)
+def tag_key(token: Token) -> int:
+    return key_of(f"<{'' if token.opens else '/'}{token.name} {token.marks}>")
+
+
+@lru_cache(1 << 14)
+def tag(name: str, end: str, attributes: str | None) -> Token:
+    marks = ""
+    if attributes and not end:
+        values = ATTRIBUTE.findall(attributes)
+        marks = " ".join(sorted(f"{a.lower()}={''.join(v).strip().lower()}" for a, *v in values))
+    return Token(name.lower(), not end, marks, "")
 
 
 def tokens(html: str) -> list[Token]:
@@ -126,22 +143,25 @@ def tokens(html: str) -> list[Token]:
         end = match.end()
         name = match["name"]
         if name:
-            marks = ""
-            if match["attributes"] and not match["end"]:
-                values = ATTRIBUTE.findall(match["attributes"])
-                marks = " ".join(sorted(f"{a.lower()}={''.join(v).strip().lower()}" for a, *v in values))
-            found.append(Token(name.lower(), not match["end"], marks, ""))
+            attributes = match["attributes"]
+            kept = tag if not attributes or len(attributes) <= KEPT_LENGTH else tag.__wrapped__
+            found.append(kept(name, match["end"], attributes))
     if end < len(html) and not html[end:].isspace():
         found.append(Token("", False, "", html[end:]))
     return found
 
 
 def not_content(token: Token) -> bool:
-    if token.name in DROPPED or (token.name == "header" and "entry" not in token.marks):
+    return names_no_content(token.name, token.marks)
+
+
+@lru_cache(1 << 14)
+def names_no_content(name: str, marks: str) -> bool:
+    if name in DROPPED or (name == "header" and "entry" not in marks):
         return True
-    if not token.marks or token.name in KEPT:
+    if not marks or name in KEPT:
         return False
-    return any(map(NOT_CONTENT.fullmatch, MARK_NAME.sub(" ", token.marks).split()))
+    return any(map(NOT_CONTENT.fullmatch, MARK_NAME.sub(" ", marks).split()))
 
 
 class Element(NamedTuple):
@@ -161,7 +181,7 @@ def elements(page: list[Token]) -> list[Element]:
             continue
         if token.opens:
             stack.append((at, token.name))
-        elif any(name == token.name for _, name in reversed(stack)):
+        elif stack and stack[-1][1] == token.name or any(name == token.name for _, name in stack):
             name = ""
             while name != token.name:
                 first, name = stack.pop()
@@ -276,21 +296,16 @@ def main_text(html: str, tags: set[int], runs: set[int], main: int | None = None
             elif not dropped[at]:
                 blocks[-1].append(token)
     own = (b for b in blocks if not (runs and all(token.key() in runs for token in b)))
-    lines = (SPACES.sub(" ", "".join(unescape(token.text) for token in b)).strip() for b in own)
+    lines = (" ".join("".join(unescape(token.text) for token in b).split()) for b in own)
     return "\n".join(line for line in lines if line)
 
 
-def content_key(page: list[Token]) -> int:
+def content_key(page: list[Token], keys: list[int], parts: list[Element], dropped: list[bool]) -> int:
     """A digest of the runs of text that seem to be the article's, before any template is known."""
-    parts = elements(page)
-    dropped = left_out(page, parts)
-    every = {token.key() for token in page if token.name}
-    digest = xxhash.xxh3_64()
-    for first, last in region(page, parts, dropped, every):
-        for at in range(first, last):
-            if not page[at].name and not dropped[at]:
-                digest.update(SPACES.sub(" ", page[at].text).strip().encode("utf-8", "surrogatepass") + b"\0")
-    return digest.intdigest() - (1 << 63)
+    every = {key for key, token in zip(keys, page) if token.name}
+    spans = region(page, parts, dropped, every)
+    shown = [keys[at] for span in spans for at in range(*span) if not page[at].name and not dropped[at]]
+    return xxhash.xxh3_64_intdigest(array("q", shown).tobytes()) - (1 << 63)
 
 
 def host_of(url: Column) -> Column:
@@ -310,17 +325,19 @@ def occurrences(pages: DataFrame) -> DataFrame:
         hosts, keys, names, is_run, counts, places = [], [], [], [], [], []
         for host, html in zip(*(batch.column(i).to_pylist() for i in range(2))):
             page = tokens(html)
-            key = content_key(page)
-            shown = [(token.key(), not token.name) for token in page]
+            shown = [token.key() for token in page]
+            parts = elements(page)
+            key = content_key(page, shown, parts, left_out(page, parts))
             found = Counter(shown)
-            found[0, False] = 1
-            first = {token: at for at, token in reversed(list(enumerate(shown)))}
+            found[0] = 1
+            first = {token: at for at, token in zip(range(len(shown) - 1, -1, -1), reversed(shown))}
+            first[0] = 0
             hosts += [host] * len(found)
             keys += [key] * len(found)
-            names += [name for name, _ in found]
-            is_run += [run for _, run in found]
+            names += found
+            is_run += [token != 0 and not page[first[token]].name for token in found]
             counts += found.values()
-            places += [first.get(token, 0) for token in found]
+            places += [first[token] for token in found]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(hosts, pa.string()),
@@ -410,8 +427,8 @@ def in_order(ranks: list[int]) -> list[bool]:
     return found
 
 
-def slots_of(html: str, core: list[int], tags: set[int], runs: set[int]) -> list[tuple[int, int, int, int, int]]:
-    """``token, slots, kind, depth, chars`` of the candidates on a page; token 0 has all its text.
+def slots_of(html: str, core: list[int], tags: set[int], runs: set[int]) -> tuple[int, list[tuple[int, int, int, int, int]]]:
+    """The page's content, and ``token, slots, kind, depth, chars`` of its candidates; token 0 has all text.
 
     ``slots`` is 1 for a tag of the core in its place and 0 for another one, and for the rest
     a checksum over the gaps of the core in which the token stands. ``chars`` counts the text
@@ -445,7 +462,7 @@ def slots_of(html: str, core: list[int], tags: set[int], runs: set[int]) -> list
         if e.first in kept or len(slots.get(key, ())) == 1:
             rows[key] = (key, told[key], KINDS.get(e.name, ELEMENT), len(ends), sizes[e.last] - sizes[e.first])
         ends.append(e.last)
-    return [(0, 0, TAG, 0, sizes[-1]), *rows.values()]
+    return content_key(page, keys, parts, dropped), [(0, 0, TAG, 0, sizes[-1]), *rows.values()]
 
 
 def with_templates(pages: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
@@ -475,8 +492,8 @@ def templates(pages: DataFrame) -> DataFrame:
         rows = []
         for host, own, html, core, tags, runs in zip(*(column.to_pylist() for column in batch.columns)):
             classes = (core, set(tags), set(runs)) if own else general
-            page = content_key(tokens(html))
-            rows += [(host if own else EVERY_HOST, page, *row) for row in slots_of(html, *classes)]
+            page, shown = slots_of(html, *classes)
+            rows += [(host if own else EVERY_HOST, page, *row) for row in shown]
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
         columns = zip(*rows) if rows else [()] * len(kinds)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], SLOTS)
