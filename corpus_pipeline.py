@@ -22,6 +22,10 @@ from folioscan.llm.common import table
 from folioscan.llm.queries import vocabulary
 from folioscan.session import staged
 
+#: Documents with so many hundredths of their shingles of so many words in common are near copies;
+#: op4 has numbers of its own.
+NEAR_SIZE, NEAR_SHARE = 5, 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -35,7 +39,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def similarity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.one_of_each(docs)
+    return ngram_join.one_of_each(docs, NEAR_SIZE, NEAR_SHARE)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Similarity join of word shingles under several global orders.
 
-Two documents link when the Jaccard similarity of their sets of 4-word shingles is
-at least ``SHARE`` hundredths. Linked sets share tokens among the first ones under
+Two documents link when the Jaccard similarity of their sets of word shingles, ``SIZE``
+words unless asked otherwise, is at least ``share`` hundredths, by default ``SHARE``. Linked sets share tokens among the first ones under
 *any* order of all tokens. The filters of several orders are intersected before a
 pair is verified:
 
@@ -53,9 +53,9 @@ def node_of(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
-def needed(n: int | np.ndarray) -> int | np.ndarray:
+def needed(n: int | np.ndarray, share: int = SHARE) -> int | np.ndarray:
     """Tokens of a set of ``n`` that a linked set holds at least."""
-    return -(-SHARE * n // 100)
+    return -(-share * n // 100)
 
 
 def tested(n: int) -> int:
@@ -63,15 +63,15 @@ def tested(n: int) -> int:
     return max(1, n // 10)
 
 
-def may_differ(n: int) -> bool:
+def may_differ(n: int, share: int = SHARE) -> bool:
     """Whether a set of ``n`` tokens can link to a set unlike it."""
-    return 100 * n >= SHARE * (n + 1)
+    return 100 * n >= share * (n + 1)
 
 
-def first_tokens(tokens: np.ndarray, salt: int) -> np.ndarray:
+def first_tokens(tokens: np.ndarray, salt: int, share: int = SHARE) -> np.ndarray:
     """Hashes of the tokens of which a linked set has one, by the order ``salt``."""
     n = len(tokens)
-    ordered = np.sort(mixed(tokens, salt))[: n - needed(n) + 1]
+    ordered = np.sort(mixed(tokens, salt))[: n - needed(n, share) + 1]
     return (ordered >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
@@ -184,24 +184,24 @@ def shared_counts(sets: DataFrame, compute: Callable, n_entries: int) -> DataFra
     return counted.groupBy("node").agg(F.sum("shared").alias("shared"))
 
 
-def candidates_by_hash(documents: DataFrame, sizes: DataFrame, size: int) -> DataFrame:
+def candidates_by_hash(documents: DataFrame, sizes: DataFrame, size: int, share: int) -> DataFrame:
     """``node, n, doc_id`` of the sets that pass the first order; ``doc_id`` is one of each."""
 
     def compute(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
         for text in texts_of(batch):
             tokens = shingles(text, size)
             n = len(tokens)
-            if n and may_differ(n):
-                yield node_of(tokens), tokens[: n - needed(n) + tested(n)]
+            if n and may_differ(n, share):
+                yield node_of(tokens), tokens[: n - needed(n, share) + tested(n)]
 
     total = sizes.agg(F.sum(F.col("n") / 4)).first()[0] or 0
     shared = shared_counts(documents.select("text"), compute, int(total))
     # The smallest set that may link is the least that the other side can ask for.
-    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * SHARE / 100) / 10))
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * share / 100) / 10))
     return shared.join(sizes, "node").where(F.col("shared") >= least).select("node", "n", "doc_id")
 
 
-def sets_of(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+def sets_of(documents: DataFrame, wanted: DataFrame, size: int, share: int) -> DataFrame:
     """``node, n, tokens, second, third``: the sets of wanted nodes, and their first tokens by two orders."""
     # Without the hint the plan would change with the size of the corpus: only a small
     # one's nodes fit a broadcast. The hash table is that of the few wanted nodes.
@@ -217,7 +217,7 @@ def sets_of(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 tokens = shingles(text, size) if node not in seen else ()
                 if len(tokens) and node_of(tokens) == node:
                     seen.add(node)
-                    second, third = (first_tokens(tokens, salt).tolist() for salt in (1, 2))
+                    second, third = (first_tokens(tokens, salt, share).tolist() for salt in (1, 2))
                     rows.append((node, len(tokens), tokens.view(np.int64).tolist(), second, third))
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
             columns = list(zip(*rows)) if rows else [()] * 5
@@ -229,7 +229,7 @@ def sets_of(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
-def with_enough_shared(sets: DataFrame) -> DataFrame:
+def with_enough_shared(sets: DataFrame, share: int) -> DataFrame:
     """The sets of whose tokens others have as many as a link needs."""
 
     def compute(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -238,11 +238,11 @@ def with_enough_shared(sets: DataFrame) -> DataFrame:
 
     total = sets.agg(F.sum("n")).first()[0] or 0
     shared = shared_counts(sets.select("node", "tokens"), compute, int(total))
-    enough = shared.join(sets.select("node", "n"), "node").where(100 * F.col("shared") >= SHARE * F.col("n"))
+    enough = shared.join(sets.select("node", "n"), "node").where(100 * F.col("shared") >= share * F.col("n"))
     return sets.join(enough.select("node").distinct(), "node", "left_semi")
 
 
-def by_frequency(sets: DataFrame) -> DataFrame:
+def by_frequency(sets: DataFrame, share: int) -> DataFrame:
     """``token, node, n, left, own``: the first tokens of every set, rarest first.
 
     ``left`` counts the tokens from this one on that other sets have too, ``own``
@@ -259,7 +259,7 @@ def by_frequency(sets: DataFrame) -> DataFrame:
         F.count(F.lit(1)).over(by_node).alias("shared"),
         F.row_number().over(by_node.orderBy("often", "token")).alias("place"),
     )
-    need = F.ceil(F.col("n") * SHARE / 100)
+    need = F.ceil(F.col("n") * share / 100)
     return ordered.where(F.col("place") <= F.col("shared") - need + 1).select(
         "token",
         "node",
@@ -269,12 +269,12 @@ def by_frequency(sets: DataFrame) -> DataFrame:
     )
 
 
-def can_link(n: Column, left: Column, other_n: Column, other_left: Column) -> Column:
+def can_link(n: Column, left: Column, other_n: Column, other_left: Column, share: int) -> Column:
     """Whether enough tokens are left on both sides from a shared one on."""
-    return (100 + SHARE) * F.least(left, other_left) >= SHARE * (n + other_n)
+    return (100 + share) * F.least(left, other_left) >= share * (n + other_n)
 
 
-def hub_pairs(entries: DataFrame) -> DataFrame:
+def hub_pairs(entries: DataFrame, share: int) -> DataFrame:
     """``a, b``: every set with the set of its token that has fewest tokens of its own."""
     hubs = staged(
         entries.groupBy("token")
@@ -289,7 +289,7 @@ def hub_pairs(entries: DataFrame) -> DataFrame:
         ),
         "hubs",
     )
-    close = can_link(F.col("n"), F.col("left"), F.col("hub_n"), F.col("hub_left"))
+    close = can_link(F.col("n"), F.col("left"), F.col("hub_n"), F.col("hub_left"), share)
     return (
         entries.join(hubs, "token")
         .where((F.col("node") != F.col("hub")) & close)
@@ -298,7 +298,7 @@ def hub_pairs(entries: DataFrame) -> DataFrame:
     )
 
 
-def pairs_across(entries: DataFrame, roots: DataFrame) -> DataFrame:
+def pairs_across(entries: DataFrame, roots: DataFrame, share: int) -> DataFrame:
     """``a, b``: pairs of a token's sets that are in different classes.
 
     A token's largest class is its home. Every set outside its token's home meets
@@ -326,7 +326,7 @@ def pairs_across(entries: DataFrame, roots: DataFrame) -> DataFrame:
         F.col("left").alias("x_left"),
         F.col("root").alias("x_root"),
     )
-    close = can_link(F.col("n"), F.col("left"), F.col("x_n"), F.col("x_left"))
+    close = can_link(F.col("n"), F.col("left"), F.col("x_n"), F.col("x_left"), share)
     once = (F.col("root") == F.col("home")) | (F.col("x") < F.col("node"))
     pairs = outside.join(split, (outside["token"] == split["token"]) & (F.col("root") != F.col("x_root")) & once & close)
     return pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
@@ -345,7 +345,7 @@ def in_all_orders(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """The pairs that are similar enough."""
     tokens = sets.select("node", "tokens")
     both = pairs.join(tokens.toDF("a", "a_tokens"), "a").join(tokens.toDF("b", "b_tokens"), "b")
@@ -355,26 +355,26 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for one, two in zip(batch.column("a_tokens"), batch.column("b_tokens")):
             one, two = one.values.to_numpy(), two.values.to_numpy()
             shared = len(np.intersect1d(one, two, assume_unique=True))
-            linked.append(100 * shared >= SHARE * (len(one) + len(two) - shared))
+            linked.append(100 * shared >= share * (len(one) + len(two) - shared))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     return by_batch(both.select("a", "b", "a_tokens", "b_tokens"), compute, "a long, b long")
 
 
-def links(documents: DataFrame, sizes: DataFrame, size: int) -> DataFrame:
+def links(documents: DataFrame, sizes: DataFrame, size: int, share: int) -> DataFrame:
     """``a, b``: links between nodes that join all linked ones."""
-    wanted = staged(candidates_by_hash(documents, sizes, size), "wanted")
-    all_sets = staged(sets_of(documents, wanted, size), "sets")
-    sets = staged(with_enough_shared(all_sets), "sets")
-    entries = staged(by_frequency(sets), "entries")
-    met = staged(hub_pairs(entries), "pairs")
-    to_hubs = staged(verified(in_all_orders(met, sets), sets), "links")
-    across = pairs_across(entries, components(to_hubs)).join(met, ["a", "b"], "left_anti")
-    others = staged(verified(in_all_orders(across, sets), sets), "links")
+    wanted = staged(candidates_by_hash(documents, sizes, size, share), "wanted")
+    all_sets = staged(sets_of(documents, wanted, size, share), "sets")
+    sets = staged(with_enough_shared(all_sets, share), "sets")
+    entries = staged(by_frequency(sets, share), "entries")
+    met = staged(hub_pairs(entries, share), "pairs")
+    to_hubs = staged(verified(in_all_orders(met, sets), sets, share), "links")
+    across = pairs_across(entries, components(to_hubs), share).join(met, ["a", "b"], "left_anti")
+    others = staged(verified(in_all_orders(across, sets), sets, share), "links")
     return to_hubs.unionAll(others)
 
 
-def ngram_join(documents: DataFrame, size: int = SIZE) -> DataFrame:
+def ngram_join(documents: DataFrame, size: int = SIZE, share: int = SHARE) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
     documents = documents.select("doc_id", "text")
     found = staged(nodes(documents, size), "nodes")
@@ -384,7 +384,7 @@ def ngram_join(documents: DataFrame, size: int = SIZE) -> DataFrame:
         .agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")),
         "sizes",
     )
-    roots = components(links(documents, sizes, size))
+    roots = components(links(documents, sizes, size, share))
     classed = sizes.join(roots, "node", "left").select(
         "node", "doc_id", F.coalesce("root", "node").alias("root")
     )
@@ -397,14 +397,14 @@ def ngram_join(documents: DataFrame, size: int = SIZE) -> DataFrame:
     )
 
 
-def one_of_each(documents: DataFrame, size: int = SIZE) -> DataFrame:
+def one_of_each(documents: DataFrame, size: int = SIZE, share: int = SHARE) -> DataFrame:
     """One document of each component, that of the least id, with all its columns.
 
     Of repeated rows one stays. Rows without an id stay, unless they are like one
     that has an id or another one without. Where an id stands for several texts,
     all of them stay if one does.
     """
-    found = staged(ngram_join(documents, size).select("doc_id", "component_id"), "found")
+    found = staged(ngram_join(documents, size, share).select("doc_id", "component_id"), "found")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     staying = found.where(stays).select("doc_id").distinct()
     going = staged(

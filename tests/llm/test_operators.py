@@ -218,6 +218,31 @@ def test_ngram_join_by_force(spark, seed):
     assert got == {i: (len(s), root[i]) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_join_with_other_numbers_by_force(spark, seed):
+    """Five words and four fifths, as the pipeline asks for: blocks added or words changed near the limit."""
+    draw = random.Random(seed)
+    prose = lambda n: [f"w{draw.randrange(5000)}" for _ in range(n)]
+    texts = {}
+    for i in range(0, 120, 2):
+        words = prose(draw.choice([20, 60, 150]))
+        texts[i] = " ".join(words)
+        if i % 4:
+            texts[i + 1] = " ".join(words + prose(round(len(words) * draw.uniform(0.1, 0.35))))
+        else:
+            for at in draw.sample(range(len(words)), max(1, len(words) // 45)):
+                words[at] = "other"
+            texts[i + 1] = " ".join(words)
+    split = {i: t.split() for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in split.items()}
+    shares = {i: 100 * len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in texts if i % 2 == 0}
+    assert any(80 <= s < 85 for s in shares.values()) and any(s < 80 for s in shares.values())
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    docs = docs.selectExpr("doc_id", "text", "'en' lang", "'s' source", "0L n_chars").repartition(3)
+    left = {r["doc_id"] for r in corpus_pipeline.similarity(spark, docs, "").collect()}
+    assert left == {i for i in texts if i % 2 == 0 or shares[i - 1] < 80}
+
+
 def test_one_of_each_keeps_least_ids(spark):
     same = "one two three four five six seven"
     rows = [(5, same), (3, same), (3, same), (None, same), (7, ""), (8, None), (9, "other words entirely here now")]
