@@ -1,6 +1,7 @@
 """From raw documents to packed training sequences, stage by stage.
 
-1. Language: documents whose language is not told with confidence go.
+1. Language: documents whose language is not told go, those without letters. Scores under
+   one half go too; it takes three or more families, or three languages of one, to give them.
 2. Quality: documents that the base rule or a learned rule rejects go.
 3. Similarity: of documents linked by word shingles one stays.
 4. Decontamination: documents that repeat a benchmark item go.
