@@ -15,6 +15,8 @@ from folioscan.llm import (
     packing,
     pu_quality,
     quality_rules,
+    resampling,
+    sentence_pieces,
     token_counts,
     toxicity,
 )
@@ -30,6 +32,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pieces_vocabulary() -> str:
+    """The public merge-type sentencepiece model, installed on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -71,6 +80,14 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digests(table(spark, sf_dir, "documents"), pieces_vocabulary())
+
+
 QUERIES: dict[str, Run] = {
     run.__name__: run
     for run in (
@@ -84,6 +101,8 @@ QUERIES: dict[str, Run] = {
         op8_best_fit_packing,
         op9_quality_classifier,
         op10_html_extraction,
+        op12_importance_resampling,
+        op13_sentencepiece,
     )
 }
 
