@@ -47,6 +47,53 @@ def markup(html: Column) -> Column:
     return F.regexp_replace(html, P.NOT_MARKUP, "$1$2$3$4")
 
 
+def live(html: Column) -> Column:
+    """The document without comments and without what scripts hold; styles stay."""
+    return F.regexp_replace(html, P.NOT_LIVE, "$1$2")
+
+
+def running(steps: Column, block: int = 256) -> Column:
+    """``total, low`` at each place of an array of whole numbers: the sum so far and its least value, 0 at most.
+
+    An array that grows by one place a step is copied at every step, so it is done in
+    blocks: each of them from 0, then the blocks' ends, then both put together.
+    """
+
+    def scan(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+        zero = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("low"))
+        begin = F.array(zero)
+        grown = F.aggregate(values, begin, lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))))
+        return F.slice(grown, 2, F.size(values))
+
+    def add(state: Column, x: Column) -> Column:
+        total = state["total"] + x
+        return F.struct(total.alias("total"), F.least(state["low"], total).alias("low"))
+
+    def follow(state: Column, other: Column) -> Column:
+        low = F.least(state["low"], state["total"] + other["low"])
+        return F.struct((state["total"] + other["total"]).alias("total"), low.alias("low"))
+
+    empty = F.array().cast("array<int>")
+    starts = F.when(F.size(steps) > 0, F.sequence(F.lit(1), F.size(steps), F.lit(block))).otherwise(empty)
+    blocks = F.transform(starts, lambda at: scan(F.slice(steps, at, block), add))
+
+    def joined(parts: Column) -> Column:
+        ends = scan(F.transform(parts, lambda part: F.element_at(part, -1)), follow)
+        return let(
+            ends,
+            lambda known: F.flatten(
+                F.transform(
+                    parts,
+                    lambda part, i: F.when(i == 0, part).otherwise(
+                        F.transform(part, lambda state: follow(F.get(known, i - 1), state))
+                    ),
+                )
+            ),
+        )
+
+    return let(blocks, joined)
+
+
 def visible_text(html: Column) -> Column:
     """Prose of a document; entities stay as written."""
     return squeeze(F.regexp_replace(html, P.NOT_SHOWN, " "))

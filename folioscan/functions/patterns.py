@@ -13,10 +13,7 @@ VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 LANG = r"(?i)<html\b[^>]*?\slang\s*=\s*" + VALUE
-HIDDEN_DIV = (
-    r"""(?is)<div\b[^>]*?\sstyle\s*=\s*(?:"[^">]*display\s*:\s*none[^">]*"|'[^'>]*display\s*:\s*none[^'>]*')"""
-    r"""[^>]*>(.*?)</div\s*>"""
-)
+HIDDEN = r"""(?is)^<[^>]*?\sstyle\s*=\s*(?:"[^">]*display\s*:\s*none[^">]*"|'[^'>]*display\s*:\s*none[^'>]*')"""
 ANCHOR_START = r"(?i)<a\s"
 ANCHOR_HREF = r"(?i)<a(?:\s[^>]*?)?\shref\s*=\s*" + VALUE
 SEGMENT_HREF = r"(?i)^[^>]*?\shref\s*=\s*" + VALUE
@@ -42,6 +39,7 @@ UNSUBSCRIBE_TAG = r"\{\{\s*unsubscribe_url\s*\}\}"
 NOT_MARKUP = (
     r"(?is)<!--.*?-->|(<script\b[^>]*>).*?(</script\s*>)|(<style\b[^>]*>).*?(</style\s*>)"
 )
+NOT_LIVE = r"(?is)<!--.*?-->|(<script\b[^>]*>).*?(</script\s*>)"
 QUOTED = r"""(?s)"[^"]*"|'[^']*'"""
 
 # Visible text: what is not shown goes first, then every remaining tag. All

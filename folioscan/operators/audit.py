@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.functions import patterns as P
-from folioscan.operators.extract import images_of, subject_of, title_of
+from folioscan.functions.columns import all_matches
+from folioscan.operators.extract import lang_of, subject_of, title_of, with_markup
 
 RULES = ("has_title", "has_lang", "has_preheader", "has_unsubscribe", "images_have_alt")
 
@@ -17,15 +18,15 @@ def has_alt(tag: Column) -> Column:
 
 
 def audit(docs: DataFrame) -> DataFrame:
-    """One boolean per rule and document; row-local."""
-    html = F.col("html")
-    return docs.select(
+    """One boolean per rule and document; row-local. Comments and scripts satisfy no rule."""
+    plain = F.col("markup")
+    return with_markup(docs).select(
         "doc_id",
-        (F.trim(F.regexp_extract(html, P.TITLE, 1)) != "").alias("has_title"),
-        (F.regexp_extract(html, P.LANG, 1) != "").alias("has_lang"),
-        html.rlike(P.HIDDEN_DIV).alias("has_preheader"),
-        html.rlike(P.UNSUBSCRIBE_TAG).alias("has_unsubscribe"),
-        F.forall(images_of(html), has_alt).alias("images_have_alt"),
+        (title_of(plain) != "").alias("has_title"),
+        (lang_of(plain) != "").alias("has_lang"),
+        F.exists(all_matches(plain, P.tag_edges("div"), 0), lambda mark: mark.rlike(P.HIDDEN)).alias("has_preheader"),
+        plain.rlike(P.UNSUBSCRIBE_TAG).alias("has_unsubscribe"),
+        F.forall(all_matches(plain, P.IMG, 0), has_alt).alias("images_have_alt"),
     )
 
 
@@ -44,9 +45,8 @@ def metadata_drift(docs: DataFrame) -> DataFrame:
     unfolding an array of one pair or none: a filter would be moved below the
     projection and match the patterns a second time.
     """
-    html = F.col("html")
-    pair = F.struct(subject_of(html).alias("subject"), title_of(html).alias("title"))
+    pair = F.struct(subject_of(F.col("html")).alias("subject"), title_of(F.col("markup")).alias("title"))
     drifted = F.filter(
         F.array(pair), lambda p: (p["subject"] != "") & (p["subject"] != p["title"])
     )
-    return docs.select("doc_id", F.inline(drifted))
+    return with_markup(docs, "html").select("doc_id", F.inline(drifted))

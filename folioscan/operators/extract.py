@@ -7,6 +7,8 @@ All of this is row-local: no operator in this module shuffles, but for
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,19 +19,28 @@ from folioscan.functions.columns import (
     count_words,
     counts,
     decimal_amount,
+    let,
     markup,
+    running,
     squeeze,
     unquote,
     visible_text as visible_text_of,
 )
 
 
-def title_of(html: Column) -> Column:
-    return squeeze(F.regexp_extract(html, P.TITLE, 1))
+def title_of(markup: Column) -> Column:
+    """The title of a document whose comments and scripts are gone."""
+    return squeeze(F.regexp_extract(markup, P.TITLE, 1))
+
+
+def lang_of(markup: Column) -> Column:
+    """The language of a document whose comments and scripts are gone."""
+    return F.coalesce(unquote(F.regexp_extract(markup, P.LANG, 1)), F.lit(""))
 
 
-def lang_of(html: Column) -> Column:
-    return F.coalesce(unquote(F.regexp_extract(html, P.LANG, 1)), F.lit(""))
+def with_markup(docs: DataFrame, *kept: str) -> DataFrame:
+    """``docs`` with its ``markup``, worked out once for all that is read from it; ``html`` only if kept."""
+    return docs.select("doc_id", *kept, markup(F.col("html")).alias("markup"))
 
 
 def subject_of(html: Column) -> Column:
@@ -40,14 +51,98 @@ def subject_of(html: Column) -> Column:
 
 def doc_metadata(docs: DataFrame) -> DataFrame:
     """``doc_id, title, lang``; empty where the document has none."""
-    html = F.col("html")
-    return docs.select("doc_id", title_of(html).alias("title"), lang_of(html).alias("lang"))
+    plain = F.col("markup")
+    return with_markup(docs).select("doc_id", title_of(plain).alias("title"), lang_of(plain).alias("lang"))
+
+
+def elements_of(markup: Column, tag: str) -> Column:
+    """``first, last, depth, mark`` of every element of one tag, in the order in which they begin.
+
+    ``first`` is the place of its opening mark, counted from 0, ``last`` the place behind its
+    closing mark and ``depth`` the number of elements of the tag that are open in it, itself
+    included; ``mark`` is the opening mark. As with a stack, a closing mark ends the element
+    that was opened last. One that ends none is passed over, and what is never closed
+    reaches to the end of the document.
+    """
+    edges = P.tag_edges(tag)
+
+    def extents(found: Column) -> Column:
+        marks, pieces = found["marks"], found["pieces"]
+        closes = F.transform(marks, lambda mark: mark.startswith("</"))
+        ends = running(F.transform(marks, lambda mark, i: (F.length(F.get(pieces, i)) + F.length(mark)).cast("long")))
+        depths = running(F.transform(closes, lambda close: F.when(close, F.lit(-1)).otherwise(1).cast("long")))
+        placed = F.transform(
+            F.arrays_zip(marks.alias("mark"), closes.alias("close"), ends.alias("end"), depths.alias("at")),
+            # What a stray closing mark takes away is given back; a closing mark stands at the depth it ends.
+            lambda x: F.struct(
+                (x["at"]["total"] - x["at"]["low"] + F.when(x["close"], 1).otherwise(0)).cast("int").alias("depth"),
+                x["end"]["total"].cast("int").alias("end"),
+                x["close"].alias("close"),
+                x["mark"].alias("mark"),
+            ),
+        )
+        return let(placed, lambda p: let(F.array_sort(F.filter(p, stands(p))), paired))
+
+    def stands(placed: Column) -> Callable[[Column, Column], Column]:
+        """Whether a mark opens an element or closes one that is open."""
+
+        def test(x: Column, i: Column) -> Column:
+            before = F.get(placed, i - 1)
+            left_open = before["depth"] - F.when(before["close"], 1).otherwise(0)
+            return ~x["close"] | (x["depth"] > 1) | F.coalesce((i > 0) & (left_open > 0), F.lit(False))
+
+        return test
+
+    def paired(ordered: Column) -> Column:
+        # Of one depth, opening and closing marks take turns.
+        def element(x: Column, i: Column) -> Column:
+            after = F.get(ordered, i + 1)
+            closed = after["close"] & (after["depth"] == x["depth"])
+            return F.struct(
+                (x["end"] - F.length(x["mark"])).alias("first"),
+                F.when(closed, after["end"]).otherwise(F.length(markup)).alias("last"),
+                x["depth"].alias("depth"),
+                x["mark"].alias("mark"),
+                x["close"].alias("close"),
+            )
+
+        found = F.filter(F.transform(ordered, element), lambda x: ~x["close"])
+        return F.array_sort(
+            F.transform(found, lambda x: F.struct(x["first"], x["last"], x["depth"], x["mark"]))
+        )
+
+    found = F.struct(
+        all_matches(markup, edges, 0).alias("marks"), F.split(markup, edges, -1).alias("pieces")
+    )
+    return let(found, extents)
+
+
+def elements(docs: DataFrame, tag: str) -> DataFrame:
+    """``doc_id, pos, first, last, depth`` of every element of one tag; see :func:`elements_of`.
+
+    Places count the characters of the document without comments and what scripts and
+    styles hold.
+    """
+    found = with_markup(docs).select("doc_id", F.posexplode(elements_of(F.col("markup"), tag)).alias("pos", "at"))
+    return found.select("doc_id", "pos", "at.first", "at.last", "at.depth")
+
+
+def hidden_block(markup: Column, tag: str = "div") -> Column:
+    """What the first hidden element holds, elements inside it included; NULL where there is none."""
+    hidden = F.filter(elements_of(markup, tag), lambda x: x["mark"].rlike(P.HIDDEN))
+
+    def inner(x: Column) -> Column:
+        begin = x["first"] + F.length(x["mark"])
+        whole = F.substring(markup, begin + 1, x["last"] - begin)
+        return F.regexp_replace(whole, rf"(?i)</{tag}\s*>$", "")
+
+    return let(F.get(hidden, F.lit(0)), lambda x: F.when(x.isNotNull(), inner(x)))
 
 
 def preheader(docs: DataFrame) -> DataFrame:
-    """``doc_id, preheader``: text of the first hidden block; empty where there is none."""
-    inner = F.regexp_extract("html", P.HIDDEN_DIV, 1)
-    return docs.select("doc_id", squeeze(F.regexp_replace(inner, P.TAG, " ")).alias("preheader"))
+    """``doc_id, preheader``: text of the whole first hidden block; empty where there is none."""
+    text = squeeze(F.regexp_replace(hidden_block(F.col("markup")), P.TAG, " "))
+    return with_markup(docs).select("doc_id", F.coalesce(text, F.lit("")).alias("preheader"))
 
 
 def comment_header(docs: DataFrame) -> DataFrame:
@@ -125,7 +220,7 @@ def text_stats(docs: DataFrame) -> DataFrame:
 def stats_by_language(docs: DataFrame) -> DataFrame:
     """``lang, n_docs, avg_words, max_words``; counted per task before the shuffle."""
     html = F.col("html")
-    texts = docs.select(lang_of(html).alias("lang"), visible_text_of(html).alias("text"))
+    texts = docs.select(lang_of(markup(html)).alias("lang"), visible_text_of(html).alias("text"))
     counted = texts.select("lang", count_words(F.col("text")).alias("n_words"))
     return counted.groupBy("lang").agg(
         F.count("*").alias("n_docs"),
@@ -147,8 +242,8 @@ def merge_tags(docs: DataFrame) -> DataFrame:
 
 
 def prices(docs: DataFrame) -> DataFrame:
-    """``doc_id, pos, amount`` of every euro amount."""
-    found = all_matches(F.col("html"), P.PRICE)
+    """``doc_id, pos, amount`` of every euro amount; none in comments, scripts and styles."""
+    found = all_matches(markup(F.col("html")), P.PRICE)
     amounts = docs.select("doc_id", F.posexplode(found).alias("pos", "written"))
     return amounts.select("doc_id", "pos", decimal_amount(F.col("written")).alias("amount"))
 
@@ -160,7 +255,7 @@ def pack_prices(docs: DataFrame) -> DataFrame:
     the sum over the pages, to the cent.
     """
     found = docs.select(
-        "doc_id", F.posexplode(all_matches(F.col("html"), P.PACK_PRICE, 0)).alias("pos", "offer")
+        "doc_id", F.posexplode(all_matches(markup(F.col("html")), P.PACK_PRICE, 0)).alias("pos", "offer")
     )
     parts = found.select(
         "doc_id",

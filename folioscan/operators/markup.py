@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.functions import patterns as P
-from folioscan.functions.columns import all_matches, counts, markup, most_frequent, occurrences, squeeze, unquote
+from folioscan.functions.columns import all_matches, counts, live, markup, most_frequent, occurrences, squeeze, unquote
 
 
 def tags_of(html: Column) -> Column:
@@ -52,7 +52,8 @@ def nesting_depth(docs: DataFrame, tag: str) -> DataFrame:
 
 
 def colours_of(html: Column) -> Column:
-    found = F.filter(all_matches(html, P.COLOUR), lambda colour: colour != "")
+    """Six-digit colours of text, attributes and styles; none in comments and scripts."""
+    found = F.filter(all_matches(live(html), P.COLOUR), lambda colour: colour != "")
     return F.transform(found, F.lower)
 
 

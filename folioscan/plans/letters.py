@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.functions import patterns as P
 from folioscan.operators import audit, extract, links, markup, render
 from folioscan.plans import query as q
 from folioscan.plans.query import Query
@@ -37,6 +36,8 @@ LETTER = " || ".join(
         "'<!DOCTYPE html>' || chr(10) || '<!-- Carta' || chr(10) || '     ASUNTO: '",
         f"CASE WHEN doc_id % 4 = 0 THEN 'Otra carta' ELSE {TITLE} END",
         "chr(10) || '     PREHEADER: Novedades de ' || source || ' -->' || chr(10)",
+        # What a comment holds is nothing of the letter's own, wherever it stands.
+        """'<!-- <html lang="xx"><title>Borrador</title><div style="display:none">Viejo</div>99 €, 9 páginas por 9 € #0a0b0c -->'""",
         "'<html lang=\"' || lang || '\"><head><meta charset=\"UTF-8\"><title>'",
         TITLE,
         "'</title><style>@import url(letra.css);@media only screen and (max-width:600px){'",
@@ -44,9 +45,12 @@ LETTER = " || ".join(
         when("doc_id % 5 = 0", ".hero{line-height:32px}"),
         when("doc_id % 3 = 0", "/* .viejo */.note{color:#99aabb}"),
         "'}</style></head><body style=\"margin:0;background-color:#F4F4F2;\">'",
+        """'<script>var b="7 € {{ unsubscribe_url }} <title>Guion</title><div style=display:none> #0d0e0f";</script>'""",
         "CASE WHEN doc_id % 9 = 0 THEN '' ELSE '<!-- Avance -->"
         '<div style="display:none;max-height:0;color:#f4f4f2;">Novedades de <b>\' || source '
-        "|| '</b> para ti</div>' END",
+        "|| '</b> para ti'",
+        when("doc_id % 2 = 0", "<div>y <div>los</div> tuyos</div>, hoy"),
+        "'</div>' END",
         # What stands in comments and scripts is no link, image, tag or class.
         """'<!-- <a href="/vieja">Antes</a><img src="/vieja.png"><table class="note"> -->'""",
         """'<script>var a="<a href=/guion>Antes</a></table><img src=/guion.png>";</script>'""",
@@ -139,26 +143,50 @@ LINKS_SQL = """
           UNION ALL SELECT doc_id, 8, '{{unsubscribe_url}}', '', '', 'placeholder'
                  FROM documents WHERE doc_id % 13 <> 0)"""
 
-PALETTE_SQL = f"""
-    SELECT doc_id, colour, count(*) AS n
-    FROM (SELECT doc_id, lower(unnest({q.extract_all('html', P.COLOUR)})) AS colour FROM {LETTERS})
-    WHERE colour <> '' GROUP BY doc_id, colour"""
+PALETTE_SQL = """
+    SELECT doc_id, colour, CAST(sum(n) AS BIGINT) AS n
+    FROM (SELECT doc_id, '#f4f4f2' AS colour, CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 2 END AS n FROM documents
+          UNION ALL SELECT doc_id, '#99aabb', 1 FROM documents WHERE doc_id % 3 = 0
+          UNION ALL SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '#203a8c' WHEN 1 THEN '#203a9d'
+                                   WHEN 2 THEN '#203aae' ELSE '#203abf' END, 1 FROM documents
+          UNION ALL SELECT doc_id, '#5a6b7c', 1 FROM documents WHERE doc_id % 13 <> 0)
+    GROUP BY doc_id, colour"""
 
-def amount(text: str) -> str:
-    return f"TRY_CAST(replace(replace({text}, '.', ''), ',', '.') AS DECIMAL(10,2))"
+# The offers of a letter in the order in which they are written.
+PRICES_SQL = """
+    SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(amount AS DECIMAL(10,2)) AS amount
+    FROM (SELECT doc_id, 0 AS pos, 300 + doc_id % 50 AS amount FROM documents
+          UNION ALL SELECT doc_id, 1, 80 + doc_id % 3 FROM documents
+          UNION ALL SELECT doc_id, 2, CASE WHEN doc_id % 2 = 0 THEN 8.00 ELSE 7.27 END FROM documents
+          UNION ALL SELECT doc_id, 3, 1250.50 FROM documents)"""
 
-
-PRICES_SQL = f"""
-    SELECT doc_id, pos, {amount('written')} AS amount
-    FROM ({q.numbered(LETTERS, q.extract_all('html', P.PRICE), 'written')})"""
-
-PACKS_SQL = f"""
+PACKS_SQL = """
     SELECT *, stated = computed AS agrees
     FROM (SELECT *, CAST(round(CAST(total AS DOUBLE) / units, 2) AS DECIMAL(10,2)) AS computed
-          FROM (SELECT doc_id, pos, CAST({q.extract('offer', P.PACK_PRICE, 1)} AS INTEGER) AS units,
-                       {amount(q.extract('offer', P.PACK_PRICE, 2))} AS total,
-                       {amount(q.extract('offer', P.PACK_PRICE, 3))} AS stated
-                FROM ({q.numbered(LETTERS, q.extract_all('html', P.PACK_PRICE, 0), 'offer')})))"""
+          FROM (SELECT doc_id, CAST(0 AS INTEGER) AS pos, CAST(10 + doc_id % 7 AS INTEGER) AS units,
+                       CAST(80 + doc_id % 3 AS DECIMAL(10,2)) AS total,
+                       CAST(CASE WHEN doc_id % 2 = 0 THEN 8.00 ELSE 7.27 END AS DECIMAL(10,2)) AS stated
+                FROM documents))"""
+
+# Every place where a "div" begins or ends, by cutting the letter at each "<"; elements are closed
+# by the first mark behind them that goes below their depth.
+DIVS_SQL = f"""
+    WITH plain AS (SELECT doc_id, {q.markup('html')} AS html FROM {LETTERS}),
+    cut AS (SELECT doc_id, html, unnest(string_split(html, '<')) AS piece,
+                   generate_subscripts(string_split(html, '<'), 1) AS place FROM plain),
+    placed AS (SELECT *, sum(length(piece) + 1) OVER (PARTITION BY doc_id ORDER BY place) - length(piece) - 2 AS first
+               FROM cut),
+    marks AS (SELECT doc_id, html, place, first, first + strpos(piece, '>') + 1 AS behind,
+                     CASE WHEN piece LIKE '/%' THEN -1 ELSE 1 END AS step
+              FROM placed WHERE place > 1 AND (piece LIKE 'div%>%' OR piece LIKE '/div%>%')),
+    deep AS (SELECT *, sum(step) OVER (PARTITION BY doc_id ORDER BY place) AS depth FROM marks),
+    begins AS (SELECT doc_id, html, place, first, depth FROM deep WHERE step = 1),
+    ends AS (SELECT b.doc_id, b.place, min_by(d.behind, d.place) AS last
+             FROM begins b JOIN deep d ON b.doc_id = d.doc_id AND d.place > b.place AND d.depth < b.depth GROUP BY 1, 2)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS INTEGER) AS pos,
+           CAST(first AS INTEGER) AS first, CAST(coalesce(last, length(html)) AS INTEGER) AS last,
+           CAST(depth AS INTEGER) AS depth
+    FROM begins LEFT JOIN ends USING (doc_id, place)"""
 
 AUDIT_SQL = """
     SELECT doc_id, doc_id % 11 <> 0 AS has_title, lang <> '' AS has_lang, doc_id % 9 <> 0 AS has_preheader,
@@ -173,7 +201,8 @@ PAIRS_SQL = """
 
 RENDER_SQL = f"""
     SELECT c_custkey AS recipient_id, doc_id,
-           replace(replace(html, '{{{{ first_name }}}}', c_name), '{{{{unsubscribe_url}}}}',
+           replace(replace(replace(html, '{{{{ first_name }}}}', c_name), '{{{{unsubscribe_url}}}}',
+                   'https://www.example.org/baja?id=$' || c_custkey), '{{{{ unsubscribe_url }}}}',
                    'https://www.example.org/baja?id=$' || c_custkey) AS body
     FROM (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_custkey END AS doc_id FROM customer)
     LEFT JOIN {LETTERS} USING (doc_id)"""
@@ -185,9 +214,13 @@ QUERIES = {
     ),
     "preheader": Query(
         lambda s, d: extract.preheader(letters(s, d)),
-        """SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '' ELSE 'Novedades de ' || source || ' para ti' END
-                  AS preheader FROM documents""",
+        """SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '' ELSE 'Novedades de ' || source || ' para ti'
+                  || CASE WHEN doc_id % 2 = 0 THEN ' y los tuyos , hoy' ELSE '' END END AS preheader FROM documents""",
+    ),
+    "letter_metadata": Query(
+        lambda s, d: extract.doc_metadata(letters(s, d)), f"SELECT doc_id, {TITLE_SQL} AS title, lang FROM documents"
     ),
+    "elements": Query(lambda s, d: extract.elements(letters(s, d), "div"), DIVS_SQL),
     "comment_header": Query(lambda s, d: extract.comment_header(letters(s, d)), HEADER_SQL),
     "letter_links": Query(
         lambda s, d: links.classify_links(extract.links(letters(s, d))), LINKS_SQL
@@ -241,7 +274,8 @@ QUERIES = {
     "merge_tags": Query(
         lambda s, d: extract.merge_tags(letters(s, d)),
         """SELECT doc_id, 'first_name' AS tag, CAST(1 AS BIGINT) AS n FROM documents
-           UNION ALL SELECT doc_id, 'unsubscribe_url', 1 FROM documents WHERE doc_id % 13 <> 0""",
+           UNION ALL
+           SELECT doc_id, 'unsubscribe_url', CASE WHEN doc_id % 13 <> 0 THEN 2 ELSE 1 END FROM documents""",
     ),
     "audit": Query(lambda s, d: audit.audit(letters(s, d)), AUDIT_SQL),
     "audit_summary": Query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscan.functions import columns
 from folioscan.functions import patterns as P
 from folioscan.operators import extract, links, markup
 from folioscan.plans import query as q
@@ -27,15 +28,15 @@ def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole corpus, written by language to the shared folder and read back."""
     path = scratch_path(spark, "pages_by_lang")
-    docs = pages(spark, sf_dir).withColumn("lang", extract.lang_of(F.col("html")))
+    docs = pages(spark, sf_dir).withColumn("lang", extract.lang_of(columns.markup(F.col("html"))))
     write_docs(docs, path, by="lang")
     return read_written(spark, path, docs.schema)
 
 
 METADATA_SQL = f"""
-    SELECT doc_id, {q.squeezed(q.extract('html', P.TITLE))} AS title,
-           coalesce({q.unquoted(q.extract('html', P.LANG))}, '') AS lang
-    FROM {PAGES}"""
+    SELECT doc_id, {q.squeezed(q.extract('plain', P.TITLE))} AS title,
+           coalesce({q.unquoted(q.extract('plain', P.LANG))}, '') AS lang
+    FROM (SELECT doc_id, {q.markup('html')} AS plain FROM {PAGES})"""
 
 TEXT_SQL = f"SELECT doc_id, {q.visible('html')} AS text FROM {PAGES}"
 
@@ -91,6 +92,6 @@ QUERIES = {
     ),
     "write_docs": Query(
         written_and_read,
-        f"SELECT doc_id, html, coalesce({q.unquoted(q.extract('html', P.LANG))}, '') AS lang FROM {PAGES}",
+        f"SELECT doc_id, html, coalesce({q.unquoted(q.extract(q.markup('html'), P.LANG))}, '') AS lang FROM {PAGES}",
     ),
 }

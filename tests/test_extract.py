@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import random
+import re
 from decimal import Decimal
 
+import pytest
+
 from pyspark.sql import functions as F
 
+from folioscan.functions.columns import running
 from folioscan.operators import audit, extract, links, markup
 from folioscan.sources import in_part, read_docs, read_written, write_docs
 
@@ -209,3 +214,72 @@ def test_text_with_angle_brackets_and_long_runs(spark):
     assert text.text == "2 < 3 > 1 " + "<" * 20000 + "7 5 €" + "1" * 20000
     (price,) = extract.prices(docs).collect()
     assert price.amount == Decimal("5.00")
+
+
+def test_comments_and_scripts_say_nothing(spark):
+    html = (
+        "<!-- <html lang='xx'><title>old</title><div style='display:none'>no</div> 99 € #aabbcc --><html lang=es>"
+        "<script>var a = '7 € {{unsubscribe_url}} <title>x</title> #ddeeff';</script><title>new</title>"
+        "<style>.a{color:#010203}</style><p>5 €</p>"
+    )
+    docs = spark.createDataFrame([(1, html)], "doc_id long, html string")
+    assert rows(extract.doc_metadata(docs), "title", "lang") == [("new", "es")]
+    assert rows(extract.prices(docs), "amount") == [(Decimal("5.00"),)]
+    assert rows(extract.preheader(docs), "preheader") == [("",)]
+    assert rows(markup.palette(docs), "colour", "n") == [("#010203", 1)]
+    assert rows(extract.stats_by_language(docs), "lang") == [("es",)]
+    (checks,) = audit.audit(docs).collect()
+    assert checks.has_title and not checks.has_unsubscribe and not checks.has_preheader
+    only = docs.withColumn("html", F.lit("<!-- <html lang='es'><title>no</title> --><html lang=''>"))
+    (checks,) = audit.audit(only).collect()
+    assert not checks.has_title and not checks.has_lang
+
+
+def elements_by_stack(html):
+    """``first, last, depth`` of every div, with a stack."""
+    stack, found = [], []
+    for mark in re.finditer(r"(?i)<(/?)div(?:[\s/][^>]*)?>", html):
+        if not mark[1]:
+            found.append([mark.start(), len(html), len(stack) + 1])
+            stack.append(found[-1])
+        elif stack:
+            stack.pop()[1] = mark.end()
+    return [tuple(element) for element in found]
+
+
+def test_extent_of_elements(spark):
+    draw = random.Random(2)
+    parts = ["<div>", "<div class='x'>", "</div>", "</DIV >", "a", "bb", "<p>", "<divx>", "\n", "é"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.choice([0, 1, 3, 10, 30, 700]))) for _ in range(150)]
+    texts += ["<div>" * 600 + "x" + "</div>" * 599, "</div></div><div>", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, html string").repartition(4)
+    got = rows(extract.elements(docs, "div"), "doc_id", "pos", "first", "last", "depth")
+    want = [(i, pos, *element) for i, t in enumerate(texts) for pos, element in enumerate(elements_by_stack(t or ""))]
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<div style='display:none'>one <div>two <div>three</div></div> four</div><p>no</p>", "one two three four"),
+        ("<div><div style=\"color:red; display : none\">in <b>side</b></div>out</div>", "in side"),
+        ("<div style='display:none'>to the <div>end</div>", "to the end"),
+        ("</div><div style='display:none'>after a stray mark</div>", "after a stray mark"),
+        ("<p style='display:none'>not a div</p>", ""),
+    ],
+)
+def test_the_whole_hidden_block(spark, html, text):
+    docs = spark.createDataFrame([(1, html)], "doc_id long, html string")
+    assert rows(extract.preheader(docs), "preheader") == [(text,)]
+
+
+def test_running_sums_over_several_blocks(spark):
+    draw = random.Random(6)
+    lists = [[draw.choice([-1, 1, 1, 3]) for _ in range(n)] for n in (0, 1, 2, 3, 4, 7, 50)]
+    numbers = spark.createDataFrame(list(enumerate(lists)), "i long, xs array<long>")
+    for i, found in numbers.select("i", running(F.col("xs"), 3)).collect():
+        total, low, want = 0, 0, []
+        for x in lists[i]:
+            total, low = total + x, min(low, total + x)
+            want.append((total, low))
+        assert [tuple(x) for x in found] == want
