@@ -38,6 +38,9 @@ SPACE = "▁"
 KEPT_LENGTH = 64
 #: Words and parts of words that a Python worker keeps, about 300 bytes each.
 KEPT_WORDS = 400_000
+#: Up to this length the least of a list is found faster than a heap is kept.
+SHORT = 32
+NEVER = float("inf")
 WORDS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, as_library boolean"
@@ -90,6 +93,28 @@ class Vocabulary:
 
     def merged(self, word: str) -> list[str]:
         """The pieces of a word, by the agenda."""
+        return self._by_heap(word) if len(word) > SHORT else self._by_list(word)
+
+    def _by_list(self, word: str) -> list[str]:
+        """The agenda of a short word: a list of costs by place, of which the first of the least is next."""
+        cost = self.costs.get
+        symbols = [*word]
+        agenda = [cost(pair, NEVER) for pair in map(add, word, word[1:])]
+        while agenda:
+            least = min(agenda)
+            if least == NEVER:
+                break
+            at = agenda.index(least)
+            merged = symbols[at] = symbols[at] + symbols.pop(at + 1)
+            del agenda[at]
+            if at < len(agenda):
+                agenda[at] = cost(merged + symbols[at + 1], NEVER)
+            if at:
+                agenda[at - 1] = cost(symbols[at - 1] + merged, NEVER)
+        return symbols
+
+    def _by_heap(self, word: str) -> list[str]:
+        """The agenda of a long word: a heap, with entries that may be out of date."""
         costs = self.costs
         n = len(word)
         # Symbols by the place of their first character; beyond the end there is none.
@@ -119,24 +144,30 @@ class Vocabulary:
         return [symbol for symbol in symbols if symbol is not None]
 
     def ids_of_part(self, part: str) -> tuple[int, ...]:
-        found: list[int] = []
-        for piece in self.merged(part):
-            known = self.ids.get(piece)
-            found += [known] if known is not None else [self.of_byte[b] for b in piece.encode()]
-        return tuple(found)
+        merged = self.merged(part)
+        found = tuple(map(self.ids.get, merged))
+        if None not in found:
+            return found
+        of_byte = self.of_byte
+        parts = ([i] if i is not None else [of_byte[b] for b in p.encode()] for i, p in zip(found, merged))
+        return tuple(chain.from_iterable(parts))
 
     def ids_of_word(self, word: str) -> tuple[int, ...]:
         """The ids of a word, part by part: marks seldom share a piece with letters."""
-        inside = self.inside
+        if word[1:].isalpha():
+            return self.ids_of_part(word)
+        inside, kept = self.inside, self.kept
         seams = [i for i, pair in enumerate(map(add, word, word[1:]), 1) if pair not in inside]
         if not seams:
             return self.ids_of_part(word)
         found: list[int] = []
         for start, end in zip([0, *seams], [*seams, len(word)]):
             part = word[start:end]
-            ids = self.kept.get(part) or self.ids_of_part(part)
-            if len(part) <= KEPT_LENGTH:
-                self.kept[part] = ids
+            ids = kept.get(part)
+            if ids is None:
+                ids = self.ids_of_part(part)
+                if end - start <= KEPT_LENGTH:
+                    kept[part] = ids
             found += ids
         return tuple(found)
 
