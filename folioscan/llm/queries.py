@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioscan.llm import (
     chat_format,
     decontaminate,
+    hard_negatives,
     html_extract,
     langid,
     ngram_join,
@@ -80,6 +82,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = hard_negatives.relabelled(table(spark, sf_dir, "embeddings"))
+    return hard_negatives.hard_negatives(embeddings, F.col("vec_id") % 100 == 0)
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -101,6 +108,7 @@ QUERIES: dict[str, Run] = {
         op8_best_fit_packing,
         op9_quality_classifier,
         op10_html_extraction,
+        op11_hard_negatives,
         op12_importance_resampling,
         op13_sentencepiece,
     )
@@ -109,4 +117,5 @@ QUERIES: dict[str, Run] = {
 SQL: dict[str, str] = {
     "op2_chat_formatting": chat_format.CHECK_SQL,
     "op3_benchmark_decontamination": decontaminate.CHECK_SQL,
+    "op11_hard_negatives": hard_negatives.CHECK_SQL,
 }
