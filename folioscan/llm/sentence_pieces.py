@@ -10,8 +10,9 @@ No piece holds a space after another character (checked when a vocabulary is rea
 so nothing merges across the start of a word: words are worked through one by one,
 and the results of those that recur are kept.
 
-Every batch is checked against the sentencepiece library, id for id and text for
-text; ``as_library`` tells the outcome of each row. Null and empty texts have no
+What is worked out is checked against the sentencepiece library, id for id and text for
+text: every word that is new to a worker, and the whole of every text that is not simply
+cut at single spaces and line breaks. ``as_library`` tells the outcome of each row. Null and empty texts have no
 ids and decode to an empty text. Rows are treated one by one: repeated rows, rows
 without an id and extra columns change nothing, an empty table gives an empty result.
 """
@@ -23,7 +24,7 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, islice
 from operator import add
 
 import pyarrow as pa
@@ -38,6 +39,8 @@ SPACE = "▁"
 KEPT_LENGTH = 64
 #: Words and parts of words that a Python worker keeps, about 300 bytes each.
 KEPT_WORDS = 400_000
+#: Words that are checked in one call.
+CHECKED = 10_000
 #: Up to this length the least of a list is found faster than a heap is kept.
 SHORT = 32
 NEVER = float("inf")
@@ -85,6 +88,12 @@ class Vocabulary:
         #: Neighbours inside some piece; no merge spans a place between any others.
         self.inside = {pair for piece in self.ids for pair in map(add, piece, piece[1:])}
         self.kept = Kept(KEPT_WORDS)
+        #: What the library says before a word that stands after a line break.
+        self.before = self.library.encode("\n")
+        #: Words that have not been checked yet.
+        self.fresh: dict[str, tuple[int, ...]] = {}
+        #: Words that the library encodes or decodes otherwise; there should be none.
+        self.wrong: set[str] = set()
 
     @staticmethod
     def require(holds: bool, what: str) -> None:
@@ -171,9 +180,35 @@ class Vocabulary:
             found += ids
         return tuple(found)
 
+    def check(self) -> None:
+        """Compare the words of a batch with the library, which reads them line by line."""
+        fresh = iter(self.fresh.items())
+        while some := list(islice(fresh, CHECKED)):
+            if not self._agrees(some):
+                self.wrong.update(item[0] for item in some if not self._agrees([item]))
+        self.fresh = {}
+
+    def _agrees(self, some: list[tuple[str, tuple[int, ...]]]) -> bool:
+        said = "".join(["\n" + word.replace(SPACE, " ") for word, _ in some])
+        *first, line = self.before
+        ids = [*first, *chain.from_iterable((line, *found) for _, found in some)]
+        return self.library.encode(said) == ids and self.library.decode(ids) == said
+
+    def is_plain(self, text: str) -> bool:
+        """Whether a text is cut at single spaces and line breaks only."""
+        return bool(self.prefix) and not ("  " in text or text[:1] == " " or SPACE in text or "\0" in text)
+
+    def as_library(self, text: str, ids: list[int], decoded: str) -> bool:
+        """Whether the library agrees: with the words of a plain text, or with the whole of another."""
+        if self.wrong and not self.wrong.isdisjoint(self.words(text)):
+            return False
+        if self.is_plain(text):
+            return decoded == text
+        return ids == self.library.encode(text) and decoded == self.library.decode(ids)
+
     def words(self, text: str) -> list[str]:
         """Parts of a text, some of them empty, that no piece spans."""
-        if "  " in text or text[0] == " " or SPACE in text or "\0" in text or not self.prefix:
+        if not self.is_plain(text):
             return WORDS.findall(self.prefix + text.replace(" ", SPACE))
         return (SPACE + text.replace("\n", "\0\n\0").replace(" ", "\0" + SPACE)).split("\0")
 
@@ -187,6 +222,7 @@ class Vocabulary:
             fresh = {word for word, ids in zip(words, got) if ids is None}
             kept.make_room(len(fresh))
             made = {word: self.ids_of_word(word) for word in fresh}
+            self.fresh.update(made)
             got = [ids if ids is not None else made[word] for word, ids in zip(words, got)]
             kept.update((word, ids) for word, ids in made.items() if len(word) <= KEPT_LENGTH)
         return list(chain.from_iterable(got))
@@ -252,6 +288,7 @@ def encoded(documents: DataFrame, path: str) -> DataFrame:
     def compute(batch: pa.RecordBatch) -> pa.RecordBatch:
         known = vocabulary(path)
         ids = [known.encode(text) for text in texts_of(batch)]
+        known.fresh = {}
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id").cast(pa.int64()),
@@ -272,16 +309,18 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256, as_library`` of every whole text.
 
     The ids are hashed as decimal numbers joined by commas. ``as_library`` says that
-    ids and decoded text equal those of the library, which each row is checked against.
+    ids and decoded text equal those of the library.
     """
 
     def compute(batch: pa.RecordBatch) -> pa.RecordBatch:
         known = vocabulary(path)
+        texts = texts_of(batch)
+        encoded = [known.encode(text) for text in texts]
+        known.check()
         rows: list[tuple] = []
-        for text in texts_of(batch):
-            ids = known.encode(text)
+        for text, ids in zip(texts, encoded):
             decoded = known.decode(ids)
-            same = ids == known.library.encode(text) and decoded == known.library.decode(ids)
+            same = known.as_library(text, ids, decoded)
             rows.append((len(ids), sha256(",".join(map(str, ids))), sha256(decoded), same))
         columns = list(zip(*rows)) if rows else [()] * 4
         kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_())
