@@ -4,8 +4,8 @@ A turn is written ``### role: text`` and, on a line of its own, ``</turn>``. A
 deterministic parser cuts the formatted text at these control strings, unless a
 backslash stands before them, and takes one backslash away from those it kept.
 Every turn is first written as it is and parsed again; where the parser does not
-give back the same role and text, the control strings of that text are escaped.
-What is written then always reads back as the source.
+give back the same role and text, the control strings of that text are escaped, and
+what is written then is parsed again too: nothing is put out that does not read back.
 
 Turns are ordered by turn, role and text. A null role or text is empty; rows that
 are repeated are repeated turns; rows without ``conv_id`` form a conversation of
@@ -24,7 +24,9 @@ CLOSING = "</turn>"
 #: Unescaped control strings; a longer run of signs is one opening.
 OPEN = r"(?<![\\#])###"
 CLOSE = r"(?<!\\)</turn>"
-HEADER = r"(?s)^\n?### ([^\\:\n]*(?:\\.[^\\:\n]*)*): (.*)\n\z"
+#: Possessive, as a role ends at its first unescaped sign: Java matches other repeated groups by
+#: recursion, which a role with thousands of escapes does not survive.
+HEADER = r"(?s)^\n?### ([^\\:\n]*+(?:\\.[^\\:\n]*+)*+): (.*)\n\z"
 
 
 def escape(text: Column) -> Column:
@@ -88,8 +90,13 @@ def format_chats(conversations: DataFrame) -> DataFrame:
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    plain = reads_back(F.col("role"), F.col("text"), F.col("text"))
-    bodies = turns.withColumn("body", F.when(plain, F.col("text")).otherwise(escape(F.col("text"))))
+    role, text = F.col("role"), F.col("text")
+    body = (
+        F.when(reads_back(role, text, text), text)
+        .when(reads_back(role, text, escape(text)), escape(text))
+        .otherwise(F.raise_error(F.lit("a turn does not read back")).cast("string"))
+    )
+    bodies = turns.withColumn("body", body)
     rows = bodies.groupBy("conv_id").agg(
         F.sort_array(F.collect_list(F.struct("turn", "role", "text", "body"))).alias("turns")
     )
