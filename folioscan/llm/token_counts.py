@@ -15,8 +15,6 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 from functools import lru_cache
-from itertools import compress
-from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -214,12 +212,15 @@ class Pieces:
         get, join = self.kept.get, self.join
         cut = [self.pieces(text) for text in block]
         had = [list(map(get, found)) for found in cut]
-        fresh = set().union(*(compress(found, map(not_, got)) for found, got in zip(cut, had)))
-        if not fresh:
-            return [join(got) for got in had]
-        self.learn(set().union(*cut) if self.kept.make_room(len(fresh)) else fresh)
-        known = self.kept
-        return [join([x or known[piece] for x, piece in zip(got, found)]) for found, got in zip(cut, had)]
+        # Nearly all pieces are known, so texts without a new one are not walked again.
+        lacking = [i for i, got in enumerate(had) if None in got]
+        fresh = {piece for i in lacking for piece, x in zip(cut[i], had[i]) if x is None}
+        if fresh:
+            self.learn(set().union(*cut) if self.kept.make_room(len(fresh)) else fresh)
+            known = self.kept
+            for i in lacking:
+                had[i] = [known[piece] if x is None else x for piece, x in zip(cut[i], had[i])]
+        return [join(got) for got in had]
 
 
 class Counter(Pieces):
