@@ -125,11 +125,11 @@ class Outbox:
         known, counts = np.unique(owner[settled], return_counts=True)
         tokens, owner = tokens[starts], np.where(often > 1, 0, owner[starts])
         bucket = (tokens >> np.uint64(32)) * np.uint64(self.n_buckets) >> np.uint64(32)
-        edges = np.searchsorted(bucket, np.arange(self.n_buckets + 1, dtype=np.uint64))
+        # Tokens are in order, so buckets are: only those that hold some are visited.
+        edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist()
         rows = [
-            (i, tokens[a:b].tobytes(), owner[a:b].tobytes())
-            for i, (a, b) in enumerate(zip(edges, edges[1:]))
-            if b > a
+            (int(bucket[a]), tokens[a:b].tobytes(), owner[a:b].tobytes())
+            for a, b in zip(edges, [*edges[1:], len(tokens)])
         ]
         if len(known):
             rows.append((-1 - int(known[0]) % self.n_buckets, counts.astype(np.int64).tobytes(), known.tobytes()))
@@ -192,7 +192,8 @@ def candidates_by_hash(documents: DataFrame, sizes: DataFrame, size: int, share:
             tokens = shingles(text, size)
             n = len(tokens)
             if n and may_differ(n, share):
-                yield node_of(tokens), tokens[: n - needed(n, share) + tested(n)]
+                # A copy: a part of an array would keep the whole of it.
+                yield node_of(tokens), tokens[: n - needed(n, share) + tested(n)].copy()
 
     total = sizes.agg(F.sum(F.col("n") / 4)).first()[0] or 0
     shared = shared_counts(documents.select("text"), compute, int(total))
