@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-#: Rows that Python works on at a time.
-ROWS = 1000
+#: Rows that Python works on at a time, and bytes, if rows are long.
+ROWS, BYTES = 1000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,19 +39,22 @@ def labels_of(labels: DataFrame, label: str, n: int = 1, held: int = -2) -> Data
 
 
 def sample_ids(rows: DataFrame, per_label: int) -> dict:
-    """``{doc_id: label}`` of at most ``per_label`` rows of each label, by a hash of the id.
+    """``{doc_id: label}`` of at most ``per_label`` ids of each label, by a hash of the id.
 
-    A threshold on the hash cuts the rows down where they are; only about as many
-    as the bound allows reach the driver.
+    A threshold on the hash cuts the rows down where they are; only about as many ids
+    as the bound allows reach the driver, each of them once however many rows it has.
     """
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30))
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    # Counted to two hundredths, which the margin of the threshold covers several times over.
+    counted = rows.groupBy("label").agg(F.approx_count_distinct("doc_id", 0.02).alias("ids"))
+    counts = {r["label"]: r["ids"] for r in counted.collect() if r["ids"]}
     if not counts:
         return {}
     most = F.lit(0.0)
     for label, count in counts.items():
-        most = F.when(F.col("label") == label, F.lit((1 << 30) * per_label * 1.1 / count)).otherwise(most)
-    found = rows.select("doc_id", "label", draw.alias("draw")).where(F.col("draw") < most).collect()
+        most = F.when(F.col("label") == label, F.lit((1 << 30) * per_label * 1.25 / count)).otherwise(most)
+    drawn = rows.select("doc_id", "label", draw.alias("draw")).where(F.col("draw") < most)
+    found = drawn.distinct().collect()
     kept: dict = {}
     for row in sorted(found, key=lambda r: (r["draw"], str(r["doc_id"]))):
         kept.setdefault(row["label"], {})[row["doc_id"]] = None
@@ -58,12 +62,15 @@ def sample_ids(rows: DataFrame, per_label: int) -> dict:
 
 
 def rows_of(documents: DataFrame, ids: dict, kind: str) -> DataFrame:
-    """The documents of a sample with their label; the sample is bounded, so it is broadcast."""
+    """One text of each id of a sample with its label; the sample is bounded, so it is broadcast.
+
+    Of an id with several texts the least one counts, so that ids bound the rows too.
+    """
     spark = documents.sparkSession
     wanted = spark.createDataFrame(list(ids.items()), f"doc_id long, label {kind}")
-    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(
-        F.broadcast(wanted), "doc_id"
-    )
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = texts.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "label")
+    return found.agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def by_batch(
@@ -79,15 +86,24 @@ def by_batch(
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of ``ROWS`` rows; what a task has used is given back at its end.
+    """The batches in pieces of ``ROWS`` rows or about ``BYTES``; what a task used is given back at its end.
 
     Whole batches of long texts would be held several times over, as Arrow data and
     as Python objects, and a worker goes on to other tasks with the memory it took.
     """
     for batch in batches:
-        for start in range(0, batch.num_rows, ROWS):
-            yield batch.slice(start, ROWS)
+        rows = max(1, min(ROWS, BYTES * batch.num_rows // max(batch.nbytes, 1)))
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Return free memory to the system; a worker lives on and others need it."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
