@@ -13,6 +13,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry_points
@@ -43,6 +44,13 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
+@pytest.fixture(scope="module")
+def con_of_many():
+    """A table with enough labels to hold some of them out."""
+    folder = "/root/testdata/sf0.1"
+    return folder, connect(folder)
+
+
 @pytest.fixture(scope="module")
 def docs(con):
     return dict(con.sql("SELECT doc_id, text FROM documents").fetchall())
@@ -54,7 +62,7 @@ def library():
 
 
 def test_every_query_is_registered():
-    assert {re.match(r"op\d+|pipeline", name)[0] for name in OURS} == {f"op{n}" for n in range(1, 11)} | {"pipeline"}
+    assert {re.match(r"op\d+|pipeline", name)[0] for name in OURS} == {f"op{n}" for n in range(1, 14)} | {"pipeline"}
 
 
 @pytest.mark.parametrize("name", [name for name in OURS if name in entry_points.oracle_sql()])
@@ -91,6 +99,14 @@ def test_chats_read_back_whatever_they_say(spark):
         assert "".join(s["text"] for s in row["segments"]) == row["formatted"]
 
 
+@pytest.mark.parametrize("role", ["a:" * 100_000, "\\" * 100_000, "#<\n:" * 30_000, "x" * 300_000])
+def test_roles_with_thousands_of_escapes_read_back(spark, role):
+    rows = [(1, 0, role, "### no </turn>"), (1, 1, "assistant", role)]
+    chats = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    (row,) = chat_format.parse_chats(chats).collect()
+    assert [tuple(t) for t in row["turns"]] == [(role, "### no </turn>"), ("assistant", role)]
+
+
 def test_only_what_conflicts_is_escaped(spark):
     rows = [(1, 0, "user", "plain \\ text"), (1, 1, "assistant", "### no")]
     chats = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
@@ -155,15 +171,16 @@ def test_repeated_items_by_force(spark, monkeypatch, broadcast):
 # Similarity join.
 
 
-def shingle_sets(texts: dict) -> dict:
+def shingle_sets(texts: dict, size: int = 4) -> dict:
     def of(text):
         words = text.translate(ASCII_LOWER).encode().split()
-        return frozenset(tuple(words[i : i + 4]) for i in range(max(1, len(words) - 3))) if words else frozenset()
+        starts = range(max(1, len(words) - size + 1))
+        return frozenset(tuple(words[i : i + size]) for i in starts) if words else frozenset()
 
     return {doc_id: of(text or "") for doc_id, text in texts.items()}
 
 
-def components_by_force(sets: dict) -> dict:
+def components_by_force(sets: dict, share: int = 85) -> dict:
     root = {i: i for i in sets}
 
     def find(x):
@@ -175,7 +192,7 @@ def components_by_force(sets: dict) -> dict:
     for i, a in enumerate(ids):
         for b in ids[:i]:
             shared = len(sets[a] & sets[b])
-            if sets[a] and 100 * shared >= 85 * len(sets[a] | sets[b]):
+            if sets[a] and 100 * shared >= share * len(sets[a] | sets[b]):
                 one, two = find(a), find(b)
                 root[max(one, two)] = min(one, two)
     return {i: find(i) for i in sets}
@@ -432,6 +449,45 @@ def area(labels, scores) -> float:
     return sum((a > b) + (a == b) / 2 for a in ones for b in noughts) / (len(ones) * len(noughts))
 
 
+def test_samples_are_bounded_by_ids_and_rows(spark):
+    """One id holds nine tenths of the rows."""
+    from folioscan.llm.common import rows_of, sample_ids
+
+    rows = [(0, f"hot {i % 500}", "en") for i in range(5000)] + [(i, f"text {i}", "en") for i in range(1, 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    for bound in (10, 50, 1200):
+        ids = sample_ids(docs.select("doc_id", F.col("lang").alias("label")), bound)
+        assert len(ids) == min(bound, 500)
+        assert rows_of(docs, ids, "string").count() == len(ids)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(500)], "doc_id long, quality int, toxic int")
+    assert toxicity.learned(docs, labels) is not None
+    assert pu_quality.learned(docs, labels) is not None
+    assert langid.learned(docs) is not None
+    assert quality_rules.learned_rules(docs, labels) is not None
+
+
+def test_toxicity_held_out(spark, con_of_many):
+    """On held-out labels: toxic documents are found, clean ones left alone."""
+    folder, con = con_of_many
+    found = {r["doc_id"]: r for r in entry_points.queries()["op1_toxicity"](spark, folder).collect()}
+    rows = con.sql("SELECT doc_id, toxic FROM labels WHERE toxic IS NOT NULL").fetchall()
+    held = {i: toxic for i, toxic in rows if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in found.items())
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in found.values())
+    caught = [found[i]["predicted"] for i, toxic in held.items() if toxic]
+    flagged = [found[i]["predicted"] for i, toxic in held.items() if not toxic]
+    assert len(caught) > 50 and sum(caught) >= 0.9 * len(caught)
+    assert sum(flagged) <= 0.05 * len(flagged)
+
+
+def test_rules_reject_bad_labels(spark, con_of_many):
+    folder, con = con_of_many
+    kept = {r["doc_id"]: r["kept"] for r in entry_points.queries()["op6_quality_rules"](spark, folder).collect()}
+    rows = con.sql("SELECT doc_id, quality FROM labels WHERE quality IS NOT NULL").fetchall()
+    good, bad = ([kept[i] for i, quality in rows if quality == q] for q in (1, 0))
+    assert sum(good) >= 0.95 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
 def test_toxicity_knows_misspellings_it_never_saw():
     draw = random.Random(2)
     stems = ["horrid", "wretch", "scoundrel", "vermin"]
@@ -619,7 +675,7 @@ def test_pipeline_by_force(spark, sf_dir, con, docs, library):
         base = row["n_words"][0] < 10 or 100 * row["n_repeat_words"][0] > 20 * row["n_words"][0]
         if base or any(quality_rules.covers(rule, row)[0] for rule in rules):
             del left[doc_id]
-    root = components_by_force(shingle_sets(left))
+    root = components_by_force(shingle_sets(left, corpus_pipeline.NEAR_SIZE), corpus_pipeline.NEAR_SHARE)
     left = {i: text for i, text in left.items() if root[i] == i}
     repeated = {row[0] for row in con.sql(decontaminate.CHECK_SQL).fetchall()}
     left = {i: text for i, text in left.items() if i not in repeated}
@@ -628,6 +684,17 @@ def test_pipeline_by_force(spark, sf_dir, con, docs, library):
     check_packing(rows, left, library)
 
 
+def test_near_copies_of_the_pipeline_are_of_its_own_numbers(spark, sf_dir):
+    """A pair that is linked by five words and four fifths, and not by the numbers of op4."""
+    words = [f"w{i}" for i in range(60)]
+    texts = {1: " ".join(words), 2: " ".join([*words, *(f"v{i}" for i in range(12))])}
+    assert components_by_force(shingle_sets(texts))[2] == 2
+    assert components_by_force(shingle_sets(texts, 5), 80)[2] == 1
+    docs = data.documents(spark, [(i, text, "en", "s", 0, 0, "") for i, text in texts.items()])
+    assert [r["doc_id"] for r in corpus_pipeline.similarity(spark, docs, sf_dir).collect()] == [1]
+    assert ngram_join.one_of_each(docs).count() == 2
+
+
 def test_pipeline_stages_keep_the_columns(spark, sf_dir):
     docs = data.documents(spark)
     for _, stage in corpus_pipeline.STAGES[:-1]:
