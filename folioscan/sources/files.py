@@ -20,11 +20,11 @@ def read_docs(
 ) -> DataFrame:
     """A folder tree of HTML files as ``doc_id, html``.
 
-    The id is the path below ``path`` without its ending, so files of one name in
-    two folders stay apart. ``name`` may be a pattern over the whole path instead;
+    The id is the path below ``path`` without its ending, whatever the folders above are
+    called, so files of one name in two folders stay apart. ``name`` may be a pattern over the whole path instead;
     its first group is the id. One file is one row and cannot be split, so a corpus
     of many small files is better packed once with :func:`write_docs`. Spark lists
-    no files of no bytes, so these have no row.
+    no files of no bytes, so these have no row here; ``html_files`` reads them.
     """
     files = spark.read.text(
         path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True
@@ -32,9 +32,11 @@ def read_docs(
     # The path comes percent-encoded, with plus signs as they are.
     found = F.try_url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
     if name is None:
-        # From the last "<folder>/" of the root on; the scheme of both may be written differently.
-        root = re.escape("/" + re.sub(r"^[a-z][a-z0-9+.-]*:/*", "", path).strip("/") + "/")
-        doc_id = F.regexp_replace(F.regexp_replace(found, f"^.*?{root}", ""), ENDING, "")
+        # Scheme and authority may be written differently from those of the files; the rest may not.
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        whole = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place)
+        root = re.escape(whole.toUri().getPath().rstrip("/") + "/")
+        doc_id = F.regexp_replace(F.regexp_replace(found, f"^(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?{root}", ""), ENDING, "")
     else:
         doc_id = F.regexp_extract(found, name, 1)
     return files.select(doc_id.alias("doc_id"), F.col("value").alias("html"))
