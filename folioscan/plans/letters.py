@@ -11,11 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.operators import audit, extract, links, markup, render
+from folioscan.operators import audit, extract, links, markup, render, sketches
 from folioscan.plans import query as q
 from folioscan.plans.query import Query
 from folioscan.session import scratch_path
 from folioscan.sources.files import read_docs
+from folioscan.sources.html_files import read_files, write_files
+from folioscan.sources.parts import changes, read_parts, update_docs
 
 TITLE = (
     "CASE WHEN doc_id % 11 = 0 THEN '' "
@@ -111,6 +113,59 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_docs(spark, path, glob="*.txt", name=r"/doc_id=(\d+)/")
 
 
+def packed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The letters, some of them empty, written as one file each and read in packs."""
+    path = scratch_path(spark, "letter_files")
+    written = letters(spark, sf_dir).select(
+        F.concat(F.lit("carta-"), "doc_id").alias("doc_id"),
+        F.when(F.col("doc_id") % 17 == 0, "").otherwise(F.col("html")).alias("html"),
+    )
+    write_files(written, path)
+    return read_files(spark, path)
+
+
+def first_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "text")
+    return documents.select("doc_id", "lang", F.expr(LETTER).alias("html"))
+
+
+def next_state(docs: DataFrame) -> DataFrame:
+    """Some letters written anew, some moved to another language, one language given up."""
+    lang, doc_id = F.col("lang"), F.col("doc_id")
+    return docs.where((lang != "fr") | lang.isNull()).select(
+        "doc_id",
+        F.when((lang == "de") & (doc_id % 2 == 0), "nl").otherwise(lang).alias("lang"),
+        F.when((lang == "en") & (doc_id % 10 == 3), "x").otherwise(F.col("html")).alias("html"),
+    )
+
+
+def updated_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The letters, stored in parts, brought up to date and read back."""
+    path = scratch_path(spark, "letter_parts")
+    docs = first_state(spark, sf_dir)
+    update_docs(docs, path, slices=4)
+    update_docs(next_state(docs), path, slices=4)
+    return read_parts(spark, path, docs.schema).select(*docs.columns)
+
+
+def part_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an update would write, by language."""
+    path = scratch_path(spark, "letter_parts")
+    docs = first_state(spark, sf_dir)
+    update_docs(docs, path)
+    return changes(next_state(docs), path).drop("part_slice")
+
+
+def sketched_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts of two deliveries that overlap, and whether the documents are told to a twentieth."""
+    docs = letters(spark, sf_dir)
+    parts = [sketches.domain_sketches(docs.where(F.col("doc_id") % 3 != i)) for i in (0, 1)]
+    exact = links.link_domains(docs).select(F.col("host").alias("value"), F.col("n_docs").alias("exact"))
+    found = sketches.estimated(sketches.united(*parts)).join(exact, "value")
+    close = F.abs(F.col("n_docs") - F.col("exact")) * 20 <= F.col("exact")
+    return found.select(F.col("value").alias("host"), F.col("n").alias("n_links"), close.alias("close"))
+
+
 # What the letter of each document holds, told from its id and source alone, so that
 # these checks share no pattern with the operators.
 TITLE_SQL = TITLE.replace("string", "VARCHAR")
@@ -207,11 +262,40 @@ RENDER_SQL = f"""
     FROM (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_custkey END AS doc_id FROM customer)
     LEFT JOIN {LETTERS} USING (doc_id)"""
 
+STATES_SQL = f"""
+    WITH old AS (SELECT doc_id, lang, {LETTER} AS html FROM documents),
+    new AS (SELECT doc_id, CASE WHEN lang = 'de' AND doc_id % 2 = 0 THEN 'nl' ELSE lang END AS lang,
+                   CASE WHEN lang = 'en' AND doc_id % 10 = 3 THEN 'x' ELSE html END AS html
+            FROM old WHERE lang <> 'fr' OR lang IS NULL)"""
+
+CHANGES_SQL = f"""{STATES_SQL},
+    a AS (SELECT ':' || coalesce(lang, '') AS part_lang, count(*) AS old_docs, list(html ORDER BY doc_id) AS old_html
+          FROM old GROUP BY 1),
+    b AS (SELECT ':' || coalesce(lang, '') AS part_lang, count(*) AS new_docs, list(html ORDER BY doc_id) AS new_html
+          FROM new GROUP BY 1)
+    SELECT part_lang, coalesce(old_docs, 0) AS old_docs, coalesce(new_docs, 0) AS new_docs,
+           CASE WHEN old_docs IS NULL THEN 'new' WHEN new_docs IS NULL THEN 'gone'
+                WHEN old_html = new_html THEN 'same' ELSE 'changed' END AS state
+    FROM a FULL OUTER JOIN b USING (part_lang)"""
+
 QUERIES = {
     # The text sink ends each row with a line break.
     "read_docs": Query(
         files, f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, html || chr(10) AS html FROM {LETTERS}"
     ),
+    "read_files": Query(
+        packed_files,
+        f"""SELECT 'carta-' || doc_id AS doc_id, html, CAST(strlen(html) AS BIGINT) AS n_bytes
+            FROM (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN '' ELSE html END AS html FROM {LETTERS})""",
+    ),
+    "updated_docs": Query(updated_docs, f"{STATES_SQL} SELECT doc_id, lang, html FROM new"),
+    "part_changes": Query(part_changes, CHANGES_SQL),
+    "domain_sketches": Query(
+        sketched_domains,
+        f"""SELECT host, count(*) AS n_links, TRUE AS close
+            FROM ({LINKS_SQL}) JOIN (VALUES (0), (1)) AS delivery (left_out) ON doc_id % 3 <> left_out
+            WHERE host <> '' GROUP BY host""",
+    ),
     "preheader": Query(
         lambda s, d: extract.preheader(letters(s, d)),
         """SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '' ELSE 'Novedades de ' || source || ' para ti'

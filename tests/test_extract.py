@@ -42,6 +42,14 @@ def test_files_of_one_name_stay_apart(spark, tmp_path):
     assert rows(read_docs(spark, str(tmp_path)), "doc_id", "html") == [("a/index", "a"), ("b/index", "b")]
 
 
+def test_ids_begin_below_the_given_folder(spark, tmp_path, monkeypatch):
+    root = tmp_path / "mails" / "x" / "mails"
+    (root / "mails").mkdir(parents=True)
+    (root / "mails" / "a.html").write_text("a")
+    for path in (str(root), f"file:{root}/", f"file://{root}"):
+        assert rows(read_docs(spark, path), "doc_id", "html") == [("mails/a", "a")]
+
+
 def test_written_by_language_and_read_back(spark, mails, tmp_path):
     langs = [("1", "x", "01"), ("2", "y", "1"), ("3", "", ""), ("4", "z", "es"), ("5", "w", None)]
     docs = spark.createDataFrame(langs, "doc_id string, html string, lang string")
