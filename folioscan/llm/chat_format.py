@@ -9,7 +9,7 @@ what is written then is parsed again too: nothing is put out that does not read
 
 Turns are ordered by turn, role and text. A null role or text is empty; rows that
 are repeated are repeated turns; rows without ``conv_id`` form a conversation of
-their own. An empty table gives no conversations. A conversation is one row of the
+their own. Extra columns are ignored. An empty table gives no conversations. A conversation is one row of the
 result, so its own size is what a task holds.
 """
 

@@ -11,7 +11,8 @@ equal, unchanged and in a row; items of fewer than ``LEAST`` words say nothing.
 
 Words are runs of letters and digits in lower case. Null and empty texts and an
 empty benchmark give no rows. Repeated rows give one row for each document and
-item. A document without an id is compared, and reported without an id.
+item. A document without an id is compared, and reported without an id. Extra columns of
+either table are ignored.
 """
 
 from __future__ import annotations

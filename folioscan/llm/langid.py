@@ -7,8 +7,9 @@ most votes wins, the sum of its margins deciding ties. All machines are trained
 on a bounded sample by stochastic subgradient descent.
 
 A text that is null or has no letter is ``und`` with score 0. Without anything to
-learn from every text is ``und``. Repeated rows are predicted one by one; extra
-columns are ignored.
+learn from every text is ``und``. Families of equal margin are told by the first of
+them in alphabetical order. Repeated rows are predicted one by one; extra columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from folioscan.llm.common import by_batch, filtered, remainder, rows_of, sample_ids, texts_of
 
 FOLDS, HELD = 5, 0
-#: Bound of the sample of each language.
-PER_LANGUAGE = 1200
+#: Bound of the sample of each language, and of the languages: the most frequent are learned.
+PER_LANGUAGE, LANGUAGES = 1200, 100
 BUCKETS = 1 << 16
 EPOCHS = 8
 REGULAR = 1e-4
@@ -149,7 +150,11 @@ def learned(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Model | N
     known = documents.select("doc_id", F.col("lang").alias("label")).where(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull()
     )
-    ids = sample_ids(known.where(remainder(F.col("doc_id"), FOLDS) != HELD), per_language)
+    known = known.where(remainder(F.col("doc_id"), FOLDS) != HELD)
+    # The model grows with the languages, and the table may name any number of them.
+    often = known.groupBy("label").agg(F.count(F.lit(1)).alias("of")).orderBy(F.desc("of"), "label")
+    known = known.join(F.broadcast(often.limit(LANGUAGES).select("label")), "label", "left_semi")
+    ids = sample_ids(known, per_language)
     if not ids:
         return None
     rows = rows_of(documents, ids, "string").collect()

@@ -9,7 +9,8 @@ risk of the negatives is the unlabelled risk less the positives' part of it, and
 never falls below zero.
 
 Null and empty texts get a score like any other. Without positives or unlabelled
-documents every score is 0.5. Rows are scored one by one.
+documents every score is 0.5. Rows are scored one by one, repeated ones alike; extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

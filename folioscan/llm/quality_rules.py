@@ -8,7 +8,7 @@ conditional expression of Spark over the statistics of a text.
 
 Texts that are null or have no words fail the base rule. Without labels of both
 kinds no rule is learned and the base rule alone decides. Repeated rows are
-judged one by one; extra columns are ignored.
+judged one by one; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

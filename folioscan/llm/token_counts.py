@@ -7,7 +7,7 @@ known pair is done, and its symbols are counted.
 
 Null and empty texts have no bytes and no tokens. Special strings inside a text
 are one token each. Rows are treated one by one, so repeated rows, extra columns
-and any order of rows give the same counts.
+and any order of rows give the same counts; an empty table gives an empty result.
 """
 
 from __future__ import annotations

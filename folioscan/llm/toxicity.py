@@ -10,7 +10,8 @@ N-grams that few training texts have keep the vector zero, so that chance string
 say nothing.
 
 Null and empty texts get the score of a text without any sign, the model's offset.
-Without labels of both kinds every score is 0. Rows are scored one by one.
+Without labels of both kinds every score is 0. Rows are scored one by one, repeated ones
+alike; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
