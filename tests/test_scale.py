@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import os
+import random
 
+import pytest
+from pyspark.sql import functions as F
+
+from folioscan.operators import dedup
 from folioscan.plans import letters
+from tests.test_versions import frame
 
 
 def test_letters_are_read_from_a_bounded_number_of_folders(spark, tmp_path, monkeypatch):
@@ -14,3 +21,49 @@ def test_letters_are_read_from_a_bounded_number_of_folders(spark, tmp_path, monk
     folders = [folder for folder, _, _ in os.walk(tmp_path)]
     assert found.select("doc_id").distinct().count() == found.count() == 1000
     assert len(folders) <= letters.FOLDERS + 2
+
+
+def kept_sets(spark, monkeypatch, search, texts):
+    """How many documents a search orders the shingles of, and its result."""
+    sizes = []
+    items = dedup._items
+    monkeypatch.setattr(dedup, "_items", lambda sets: sizes.append(sets.count()) or items(sets))
+    return sum(sorted(map(tuple, search(frame(spark, texts)).collect())), ()), sizes
+
+
+@pytest.mark.parametrize("search", [dedup.near_duplicates, dedup.version_family])
+def test_documents_without_company_are_not_ordered(spark, monkeypatch, search):
+    """Unlike documents, some of which share a passage or are copies, and one pair of near copies."""
+    draw = random.Random(4)
+    texts = [" ".join(f"w{draw.randrange(5000)}" for _ in range(80)) for _ in range(60)]
+    passage = " ".join(texts[0].split()[:12])
+    texts += [passage + " " + " ".join(f"x{i}x{j}" for j in range(60)) for i in range(20)]
+    texts += [texts[5] + " one more", texts[6].upper()]
+    got, sizes = kept_sets(spark, monkeypatch, search, texts)
+    if search is dedup.near_duplicates:
+        assert got[:2] + got[3:] == (5, 80, 6, 81, 1.0)
+    else:
+        assert got == (5, 5, 6, 6, 80, 5, 81, 6)
+    assert sizes == [2]
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 1.0])
+def test_partners_share_enough_keys(spark, threshold):
+    """Sets of any two sizes that are as similar as the threshold asks for, and no more."""
+    draw = random.Random(7)
+    pairs = []
+    for _ in range(150):
+        small = draw.randrange(1, 60)
+        large = draw.randrange(small, int(small / threshold) + 1)
+        common = math.ceil(threshold / (1 + threshold) * (small + large) - 1e-9)
+        values = [draw.getrandbits(63) - (1 << 62) for _ in range(small + large)]
+        pairs.append((values[:small], values[small - common : small + large - common]))
+    rows = spark.createDataFrame(pairs, "a array<long>, b array<long>")
+    (keys_a, least_a), (keys_b, least_b) = (
+        dedup.prefix_keys(F.col(c), F.size(c), threshold) for c in ("a", "b")
+    )
+    shared = F.size(F.array_intersect(keys_a, keys_b))
+    jaccard = F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))
+    found = rows.select(jaccard.alias("jaccard"), shared.alias("shared"), F.greatest(least_a, least_b).alias("least"))
+    found = found.where(F.col("jaccard") >= threshold).collect()
+    assert len(found) == 150 and all(row["shared"] >= row["least"] for row in found)
