@@ -1,38 +1,30 @@
 """Families of versions that are kept, and that new documents join.
 
 ``version_family`` reads a whole corpus. Here what it takes to compare a new document with
-all earlier ones is stored, so that a delivery costs about its own size:
+all earlier ones is stored, so that earlier texts are not read again:
 
 - ``sets``: the shingles of each document;
-- ``postings``: the shingles of each document's prefix under a fixed order;
-- ``tokens``: that order. A shingle keeps the place it got when it was first seen, by how
-  many documents of its delivery held it; shingles of later deliveries come before all
-  earlier ones. Prefix filtering holds under any order that both sides of a pair share;
 - ``roots``: each linked document and the first document of its family.
 
+A delivery shuffles short keys of the sets, earlier ones too, which tell the new documents that
+may have a similar one and the earlier documents that they may be similar to (see
+:func:`dedup.prefix_keys`; the order of hashes is the same for all deliveries). Only these are
+ordered and compared, and families that are known already are not looked for again.
+
 Deliveries are appended; no stored row is rewritten but those of ``roots``, a pair of ids
-each, of which a new version is written beside the old.
+each, of which a new version is written beside the old. It is written last: a delivery that
+broke off may be given again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscan.operators.components import components, with_links
-from folioscan.operators.dedup import (
-    EPSILON,
-    SHINGLE_WORDS,
-    _members,
-    _room,
-    _shingle_sets,
-    _similar,
-    family_links,
-)
+from folioscan.operators.dedup import SHINGLE_WORDS, _members, _shingle_sets, family_links, only, prefix_keys
 from folioscan.session import staged
 
-PARTS = ("sets", "postings", "tokens")
-
 
 def start(texts: DataFrame, path: str, threshold: float = 0.5, k: int = SHINGLE_WORDS) -> DataFrame:
     """Store the families of a first delivery in an empty folder; ``doc_id, family`` as ``version_family``."""
@@ -57,90 +49,42 @@ def families(spark: SparkSession, path: str, delivery: int) -> DataFrame:
 
 def _deliver(texts: DataFrame, path: str, delivery: int, threshold: float, k: int) -> DataFrame:
     spark = texts.sparkSession
+    kept = f"{path}/roots/delivery={delivery}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(kept)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        raise ValueError(f"delivery {delivery} is stored already")
     members = staged(_members(texts, k), "members")
-    heads = members.where(F.col("doc_id") == F.col("head"))
-    sets = staged(_shingle_sets(texts.join(heads, "doc_id", "left_semi"), k), "sets")
-    copies = members.where(F.col("doc_id") != F.col("head"))
-    links = family_links(sets, threshold).unionByName(
-        copies.select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
+    heads = members.where(F.col("doc_id") == F.col("head")).select("doc_id")
+    copies = members.where(F.col("doc_id") != F.col("head")).select(
+        F.col("head").alias("a"), F.col("doc_id").alias("b")
     )
-    before = {part: _stored(spark, path, part, delivery) for part in PARTS} if delivery else {}
-
-    each = sets.select("doc_id", "n", F.explode("shingles").alias("token"))
-    counted = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    if before:
-        counted = counted.join(before["tokens"].select("token"), "token", "left_anti")
-    fresh = staged(counted.select("token", F.lit(-delivery).alias("rank"), "df"), "tokens")
-    order = fresh.unionAll(before["tokens"].select("token", "rank", "df")) if before else fresh
-    postings = staged(_postings(each, order, threshold), "postings")
-    if before:
+    _shingle_sets(only(texts, heads), k).write.mode("overwrite").parquet(f"{path}/sets/delivery={delivery}")
+    stored = spark.read.parquet(f"{path}/sets").where(F.col("delivery") <= delivery)
+    company = only(stored, _company(stored, delivery, threshold)).select("doc_id", "n", "shingles")
+    sets = staged(company, "sets")
+    if delivery:
         roots = spark.read.parquet(f"{path}/roots/delivery={delivery - 1}")
-        links = links.unionByName(_links_to_earlier(postings, sets, before, roots, threshold))
+        links = family_links(sets, threshold, roots).unionByName(copies)
         found = with_links(roots, staged(links, "links"))
     else:
-        found = components(links)
-
-    for part, rows in zip(PARTS, (sets, postings, fresh)):
-        rows.write.parquet(f"{path}/{part}/delivery={delivery}")
-    found.write.parquet(f"{path}/roots/delivery={delivery}")
+        found = components(family_links(sets, threshold).unionByName(copies))
+    found.write.parquet(kept)
     return families(spark, path, delivery)
 
 
-def _stored(spark: SparkSession, path: str, part: str, delivery: int) -> DataFrame:
-    """The rows of all deliveries before this one."""
-    return spark.read.parquet(f"{path}/{part}").where(F.col("delivery") < delivery).drop("delivery")
-
-
-def _postings(each: DataFrame, order: DataFrame, threshold: float) -> DataFrame:
-    """``token, doc_id, n, pos`` of the first part of each document in the given order."""
-    ordered = (
-        each.join(order, "token")
-        .groupBy("doc_id", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("rank", "df", "token"))).alias("tokens"))
+def _company(stored: DataFrame, delivery: int, threshold: float) -> DataFrame:
+    """``doc_id`` of new documents that may be similar to any, and of earlier ones that may be to a new one."""
+    keys, least = prefix_keys(F.col("shingles"), F.col("n"), threshold)
+    listed = stored.select(
+        "doc_id", least.alias("least"), (F.col("delivery") == delivery).alias("fresh"), F.explode(keys).alias("key")
     )
-    prefix = F.col("n") - F.ceil(F.col("n") * threshold - EPSILON).cast("int") + 1
-    first = F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("pos", "entry")
-    return ordered.select("doc_id", "n", first).select("entry.token", "doc_id", "n", "pos")
-
-
-def _links_to_earlier(
-    postings: DataFrame, sets: DataFrame, before: dict[str, DataFrame], roots: DataFrame, threshold: float
-) -> DataFrame:
-    """``a, b``: for each new document, links to every earlier family it belongs to.
-
-    A new document first meets one document of each family of a shingle, the one in which
-    the shingle stands nearest the front; the family's others are met only if that one is
-    not similar.
-    """
-    new = postings.select("token", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    wanted = staged(postings.select("token").distinct(), "wanted")
-    old = before["postings"].join(wanted, "token", "left_semi")
-    family = roots.select(F.col("node").alias("doc_id"), F.col("root").alias("family"))
-    old = staged(
-        old.join(family, "doc_id", "left").select(
-            "token",
-            F.col("doc_id").alias("a"),
-            F.col("n").alias("na"),
-            F.col("pos").alias("pa"),
-            F.coalesce("family", "doc_id").alias("family"),
-        ),
-        "old",
+    same = Window.partitionBy("key")
+    met = listed.withColumns(
+        {"low": F.min("doc_id").over(same), "high": F.max("doc_id").over(same), "any": F.max("fresh").over(same)}
+    )
+    counted = (
+        met.where((F.col("low") != F.col("high")) & F.col("any"))
+        .groupBy("doc_id", "least")
+        .agg(F.count(F.lit(1)).alias("shared"))
     )
-    nearest = old.groupBy("token", "family").agg(F.min_by("a", "pa").alias("a"))
-    hubs = staged(old.join(staged(nearest, "nearest"), ["token", "family", "a"], "left_semi"), "hubs")
-    # Sets of both sides; earlier ones only of documents that are met.
-    met = staged(new.join(hubs, "token").where(_room(threshold)).select("a", "b", "family").distinct(), "met")
-    found = _verified(met, sets, before["sets"], threshold)
-    rest = new.join(old, "token").where(_room(threshold)).select("a", "b", "family").distinct()
-    rest = rest.join(found.select("b", "family").distinct(), ["b", "family"], "left_anti")
-    rest = staged(rest.join(met.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-    others = _verified(rest, sets, before["sets"], threshold)
-    return found.select("a", "b").unionByName(others.select("a", "b"))
-
-
-def _verified(met: DataFrame, sets: DataFrame, stored: DataFrame, threshold: float) -> DataFrame:
-    """``a, b, family`` of the pairs that are similar enough."""
-    wanted = met.select(F.col("a").alias("doc_id")).distinct()
-    both = staged(sets.unionByName(stored.join(wanted, "doc_id", "left_semi")), "both")
-    similar = _similar(met.select("a", "b"), both, threshold).select("a", "b")
-    return staged(met.join(similar, ["a", "b"]), "verified")
+    return counted.where(F.col("shared") >= F.col("least")).select("doc_id")

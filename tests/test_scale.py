@@ -9,8 +9,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from folioscan.operators import dedup
+from folioscan.operators import dedup, families, minhash
 from folioscan.plans import letters
+from folioscan.session import scratch_path
 from tests.test_versions import frame
 
 
@@ -67,3 +68,38 @@ def test_partners_share_enough_keys(spark, threshold):
     found = rows.select(jaccard.alias("jaccard"), shared.alias("shared"), F.greatest(least_a, least_b).alias("least"))
     found = found.where(F.col("jaccard") >= threshold).collect()
     assert len(found) == 150 and all(row["shared"] >= row["least"] for row in found)
+
+
+def test_a_delivery_orders_only_what_may_be_similar(spark, monkeypatch):
+    """Of the earlier documents one is like a new one; a family that is known is not compared again."""
+    draw = random.Random(8)
+    texts = [" ".join(f"w{draw.randrange(5000)}" for _ in range(60)) for _ in range(40)]
+    texts += [texts[3] + " one", texts[7] + " two", texts[3] + " three", texts[39] + " four"]
+    docs = frame(spark, texts)
+    path = scratch_path(spark, "families")
+    sizes, compared = [], []
+    items, compare = dedup._items, dedup._compared
+    monkeypatch.setattr(dedup, "_items", lambda sets: sizes.append(sets.count()) or items(sets))
+    monkeypatch.setattr(dedup, "_compared", lambda p, s: compared.append(p.count()) or compare(p, s))
+    families.start(docs.where("doc_id < 41"), path)
+    assert sizes == [2]
+    compared.clear()
+    got = families.add(docs.where("doc_id > 40"), path, 1)
+    found = sorted(map(tuple, got.select("doc_id", "family").collect()))
+    assert found == [(3, 3), (7, 7), (39, 39), (40, 3), (41, 7), (42, 3), (43, 39)]
+    assert sizes == [2, 7] and sum(compared) <= 5
+    with pytest.raises(ValueError):
+        families.add(docs.where("doc_id > 40"), path, 1)
+
+
+def test_bands_carry_no_slots(spark, monkeypatch):
+    """What is shuffled for each band is a key and ids; sets are made of documents that meet."""
+    written = {}
+    stage = minhash.staged
+    monkeypatch.setattr(minhash, "staged", lambda df, name: written.setdefault(name, []).append(stage(df, name)) or written[name][-1])
+    draw = random.Random(9)
+    texts = [" ".join(f"w{draw.randrange(5000)}" for _ in range(90)) for _ in range(30)]
+    texts += [texts[2] + " one"]
+    assert [tuple(r)[:2] for r in minhash.minhash_duplicates(frame(spark, texts)).collect()] == [(2, 30)]
+    assert all("further" not in bands.columns for bands in written["bands"])
+    assert [sets.count() for sets in written["sets"]] == [2]
