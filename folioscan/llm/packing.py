@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import slices, texts_of
+from folioscan.llm.common import give_back, slices, texts_of
 from folioscan.llm.token_counts import Pieces
 from folioscan.session import staged
 
@@ -95,6 +95,7 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY) -> DataFra
             )
         # The worker goes on to tasks of other stages; they need the memory.
         ids_of(path).kept.clear()
+        give_back()
 
     return documents.select("doc_id", "text").mapInArrow(run, PIECES)
 

@@ -37,11 +37,16 @@ def pieces(text: str, library: Callable | None = None) -> list[str]:
 
 
 class Kept(dict):
-    """Results by piece; emptied when full, so that a task's memory is bounded."""
+    """Results by piece, at most ``most`` of them, so that a task's memory is bounded.
+
+    When half of these are held, they become the older ones, which are given up at the next
+    time; what is asked for in between is taken over, so that pieces that recur stay.
+    """
 
     def __init__(self, most: int = 300_000):
         super().__init__()
         self.most = most
+        self.older: dict = {}
 
     def make_room(self, n: int) -> bool:
         """Whether all was given up to make room for ``n`` more."""
@@ -49,3 +54,22 @@ class Kept(dict):
         if full:
             self.clear()
         return full
+
+    def lacking(self, wanted: set) -> list:
+        """The wanted pieces that have no result; all others are held afterwards."""
+        if len(self) + len(wanted) > self.most // 2:
+            self.older = dict(self)
+            super().clear()
+        found, older = [], self.older.get
+        for piece in wanted:
+            if piece not in self:
+                result = older(piece)
+                if result is None:
+                    found.append(piece)
+                else:
+                    self[piece] = result
+        return found
+
+    def clear(self) -> None:
+        super().clear()
+        self.older = {}

@@ -209,18 +209,13 @@ class Pieces:
         return found + self._block(block)
 
     def _block(self, block: list[str]) -> list:
-        get, join = self.kept.get, self.join
         cut = [self.pieces(text) for text in block]
-        had = [list(map(get, found)) for found in cut]
-        # Nearly all pieces are known, so texts without a new one are not walked again.
-        lacking = [i for i, got in enumerate(had) if None in got]
-        fresh = {piece for i in lacking for piece, x in zip(cut[i], had[i]) if x is None}
+        # Few of a block's pieces are different ones, so only these are looked through.
+        fresh = self.kept.lacking(set().union(*cut))
         if fresh:
-            self.learn(set().union(*cut) if self.kept.make_room(len(fresh)) else fresh)
-            known = self.kept
-            for i in lacking:
-                had[i] = [known[piece] if x is None else x for piece, x in zip(cut[i], had[i])]
-        return [join(got) for got in had]
+            self.learn(fresh)
+        known, join = self.kept.__getitem__, self.join
+        return [join(map(known, found)) for found in cut]
 
 
 class Counter(Pieces):

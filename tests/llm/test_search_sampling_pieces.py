@@ -293,3 +293,14 @@ def test_pieces_odd_rows(spark, vocabulary):
     assert sorted((r["decoded"] for r in given)) == sorted(text or "" for _, text in rows)
     assert sorted(len(r["ids"]) for r in given) == sorted(len(vocabulary.library.encode(t or "")) for _, t in rows)
     assert sentence_pieces.digests(data.documents(spark, []), MODEL).collect() == []
+
+
+def test_pieces_that_recur_are_kept_while_others_pass():
+    from folioscan.llm.pretokens import Kept
+
+    kept = Kept(20)
+    for i in range(50):
+        fresh = kept.lacking({"often", f"once{i}", f"only{i}"})
+        assert ("often" in fresh) == (i == 0)
+        kept.update(dict.fromkeys(fresh, 0))
+        assert len(kept) + len(kept.older) <= 20
