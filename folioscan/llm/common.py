@@ -85,14 +85,16 @@ def by_batch(
     return df.mapInArrow(run, schema)
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of ``ROWS`` rows or about ``BYTES``; what a task used is given back at its end.
+def slices(
+    batches: Iterator[pa.RecordBatch], most: int = ROWS, size: int = BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of ``most`` rows or about ``size`` bytes; what a task used is given back at its end.
 
     Whole batches of long texts would be held several times over, as Arrow data and
     as Python objects, and a worker goes on to other tasks with the memory it took.
     """
     for batch in batches:
-        rows = max(1, min(ROWS, BYTES * batch.num_rows // max(batch.nbytes, 1)))
+        rows = max(1, min(most, size * batch.num_rows // max(batch.nbytes, 1)))
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
     give_back()

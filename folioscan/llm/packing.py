@@ -34,6 +34,8 @@ from folioscan.session import staged
 
 CAPACITY = 2048
 CLOSING = b"\0\0\0\0"
+#: Rows and bytes encoded together: the more they are, the more of their pieces recur.
+TOGETHER = 10_000, 4 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
 PACKED = (
@@ -44,16 +46,10 @@ PACKED = (
 class Ids(Pieces):
     """Token ids as little-endian bytes."""
 
-    join = staticmethod(b"".join)
-
-    def encode(self, tokens: list[str]) -> list[bytes]:
-        ids, sizes = self.merges.encode([t.encode("utf-8", "surrogatepass") for t in tokens])
-        flat = ids.tobytes()
-        ends = (np.cumsum(sizes) * 4).tolist()
-        return [flat[a:b] for a, b in zip([0, *ends], ends)]
-
-    def of_special(self, piece: str) -> bytes:
-        return int(self.merges.specials[piece]).to_bytes(4, "little")
+    def results(self, places: np.ndarray, edges: np.ndarray) -> list[bytes]:
+        ids = self.kept.of(places).tobytes()
+        ends = (self.ends(places, edges) * 4).tolist()
+        return [ids[a:b] for a, b in zip(ends, ends[1:])]
 
 
 @lru_cache(maxsize=4)
@@ -78,7 +74,7 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY) -> DataFra
         context = TaskContext.get()
         part = context.partitionId() if context else 0
         seen: dict[int, int] = {}
-        for batch in slices(batches):
+        for batch in slices(batches, *TOGETHER):
             columns: list[list] = [[] for _ in range(7)]
             encoded = ids_of(path).all(texts_of(batch))
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded):

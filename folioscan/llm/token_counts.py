@@ -1,5 +1,6 @@
 """Token counts by rank-synchronous merging of ragged arrays.
 
+Texts are cut into pieces, of which a block's distinct ones are cut into pre-tokens.
 A batch of distinct pre-tokens is one flat array of symbols with the start of
 each sequence beside it. Every round finds, for all sequences at once, the
 adjacent pair of lowest rank, and merges all its places; a sequence without a
@@ -13,7 +14,6 @@ and any order of rows give the same counts; an empty table gives an empty result
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -21,14 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from folioscan.llm.common import by_batch, texts_of
-from folioscan.llm.pretokens import Kept, pieces, split
+from folioscan.llm.pretokens import Table, cut_up, flat, pieces, split_up, strings
 
 NO_RANK = np.iinfo(np.int32).max
 LIMIT = 512
-#: Marks that are a pre-token of one byte when they follow a word.
-MARKS = ".,;:!?"
-#: Up to here all versions of Unicode agree on what a letter is.
-LATIN = "\u024f"
+#: Sequences merged at a time; the arrays of a round take many times their bytes.
+MERGED = 1 << 15
 
 
 class Merges:
@@ -52,33 +50,32 @@ class Merges:
         self.keys = np.array(keys, dtype=np.int64)[order]
         self.ranks = np.array(ranks, dtype=np.int32)[order]
         self.made = np.array(made, dtype=np.int64)
+        # Ranks of two bytes, which every sequence begins with.
+        self.of_bytes = self.rank(np.repeat(self.of_byte, 256), np.tile(self.of_byte, 256))
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.width + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], NO_RANK)
 
-    def counts(self, sequences: list[bytes]) -> np.ndarray:
-        """The number of symbols that survive in each non-empty sequence."""
-        return self._run(sequences, None) if sequences else np.zeros(0, dtype=np.int64)
-
-    def encode(self, sequences: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all non-empty sequences one after another, and the number of each."""
-        if not sequences:
-            return np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
-        done: list[tuple[np.ndarray, np.ndarray]] = []
-        sizes = self._run(sequences, done)
-        owners = np.concatenate([owner for owner, _ in done])
-        symbols = np.concatenate([symbol for _, symbol in done])
-        return symbols[np.argsort(owners, kind="stable")].astype("<u4"), sizes
-
-    def _run(self, sequences: list[bytes], ended: list | None) -> np.ndarray:
+        ids, sizes = [np.zeros(0, dtype="<u4")], [np.zeros(0, dtype=np.int64)]
+        for at in range(0, len(starts) - 1, MERGED):
+            some = starts[at : at + MERGED + 1]
+            done: list[tuple[np.ndarray, np.ndarray]] = []
+            sizes.append(self._run(data[some[0] : some[-1]], np.diff(some), done))
+            owners = np.concatenate([owner for owner, _ in done])
+            symbols = np.concatenate([symbol for _, symbol in done])
+            ids.append(symbols[np.argsort(owners, kind="stable")].astype("<u4"))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _run(self, data: np.ndarray, sizes: np.ndarray, ended: list) -> np.ndarray:
         """Merge until no pair is known; what has ended is added to ``ended`` by sequence."""
-        sizes = np.fromiter(map(len, sequences), dtype=np.int64, count=len(sequences))
         found = sizes.copy()
-        active = np.arange(len(sequences))
-        symbols = self.of_byte[np.frombuffer(b"".join(sequences), dtype=np.uint8)]
-        ranks = self._all_ranks(symbols, sizes)
+        active = np.arange(len(sizes))
+        symbols = self.of_byte[data]
+        ranks = self._all_ranks(data, sizes)
         while len(active):
             starts = np.cumsum(sizes) - sizes
             best = np.minimum.reduceat(ranks, starts)
@@ -86,8 +83,7 @@ class Merges:
             if done.any():
                 found[active[done]] = sizes[done]
                 keep = np.repeat(~done, sizes)
-                if ended is not None:
-                    ended.append((np.repeat(active[done], sizes[done]), symbols[~keep]))
+                ended.append((np.repeat(active[done], sizes[done]), symbols[~keep]))
                 symbols, ranks = symbols[keep], ranks[keep]
                 active, sizes, best = active[~done], sizes[~done], best[~done]
                 if not len(active):
@@ -95,10 +91,10 @@ class Merges:
             symbols, ranks, sizes = self._merge(symbols, ranks, sizes, best)
         return found
 
-    def _all_ranks(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Rank of the pair that starts at each place; none at the last of a sequence."""
-        ranks = np.full(len(symbols), NO_RANK, dtype=np.int32)
-        ranks[:-1] = self.rank(symbols[:-1], symbols[1:])
+    def _all_ranks(self, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Rank of the pair of bytes that starts at each place; none at the last of a sequence."""
+        ranks = np.full(len(data), NO_RANK, dtype=np.int32)
+        ranks[:-1] = self.of_bytes[data[:-1].astype(np.int32) * 256 + data[1:]]
         ranks[np.cumsum(sizes) - 1] = NO_RANK
         return ranks
 
@@ -142,14 +138,14 @@ def byte_symbols() -> dict[int, str]:
 
 
 class Pieces:
-    """Encodes texts piece by piece and keeps the results of pieces that recur."""
+    """Encodes texts by the distinct pieces of a block and keeps the ids of pieces that recur."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.merges = Merges(path)
         self.library = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-        self.kept = Kept()
+        self.kept = Table({special.encode(): n for special, n in self.merges.specials.items()})
 
     def segments(self, text: str) -> list[str]:
         """The parts between special strings, which stand between them as their own parts."""
@@ -166,39 +162,32 @@ class Pieces:
         return [first, *(x for after in rest for x in (special, after))]
 
     def pieces(self, text: str) -> list[str]:
-        parts = self.segments(text)
-        if len(parts) == 1:
-            return pieces(text, self.library)
         specials = self.merges.specials
-        return [x for part in parts for x in ([part] if part in specials else pieces(part, self.library))]
-
-    def learn(self, wanted: Iterable[str]) -> None:
-        """Encode pieces that are not kept, together.
-
-        A word, with or without one closing mark, is split without the pattern.
-        """
-        words, marked, odd = [], [], []
-        for piece in wanted:
-            word = piece[:-1] if piece[-1:] in MARKS else piece
-            letters = word[1:] if word[:1] == " " else word
-            if letters.isalpha() and (letters.isascii() or max(letters) <= LATIN):
-                (words if word is piece else marked).append(piece)
-            elif piece in self.merges.specials:
-                self.kept[piece] = self.of_special(piece)
-            else:
-                odd.append(piece)
-        cut = [split(piece, self.library) for piece in odd]
-        distinct = list({token for tokens in cut for token in tokens})
-        made = self.encode([*words, *(piece[:-1] for piece in marked), *distinct])
-        self.kept.update(zip(words, made))
-        closing = dict(zip(MARKS, self.encode([*MARKS])))
-        self.kept.update((p, x + closing[p[-1]]) for p, x in zip(marked, made[len(words) :]))
-        known = dict(zip(distinct, made[len(words) + len(marked) :]))
-        for piece, tokens in zip(odd, cut):
-            self.kept[piece] = self.join([known[token] for token in tokens])
-
-    def all(self, texts: list[str], together: int = 1 << 20) -> list:
-        """Results of many texts; pieces new to about ``together`` characters are encoded at once."""
+        return [
+            x for part in self.segments(text) for x in ([part] if part in specials else pieces(part, self.library))
+        ]
+
+    def learn(self, wanted: pa.BinaryArray) -> np.ndarray:
+        """Add pieces that are not kept; returns their places."""
+        data, begun = flat(wanted)
+        cuts = split_up(data, begun, self.library)
+        tokens, fresh = self.kept.find(strings(data, cuts))
+        if len(fresh):
+            data, starts = flat(fresh)
+            ids, sizes = self.merges.encode(data, starts)
+            self.kept.add(fresh, sizes, ids)
+        # A piece of one pre-token is known by that; of others the ids are put together.
+        first = np.searchsorted(cuts, begun)
+        many = np.diff(first) > 1
+        places = tokens[first[:-1]].astype(np.int64)
+        places[many] = len(self.kept) + np.arange(np.count_nonzero(many))
+        inside = tokens[np.repeat(many, np.diff(first))]
+        sizes = np.add.reduceat(self.kept.sizes[tokens], first[:-1])[many]
+        self.kept.add(wanted.filter(pa.array(many)), sizes, self.kept.of(inside))
+        return places
+
+    def all(self, texts: list[str], together: int = 1 << 22) -> list:
+        """Results of many texts; about ``together`` characters are worked on at once."""
         found, block, size = [], [], 0
         for text in texts:
             block.append(text)
@@ -209,25 +198,30 @@ class Pieces:
         return found + self._block(block)
 
     def _block(self, block: list[str]) -> list:
-        cut = [self.pieces(text) for text in block]
-        # Few of a block's pieces are different ones, so only these are looked through.
-        fresh = self.kept.lacking(set().union(*cut))
-        if fresh:
-            self.learn(fresh)
-        known, join = self.kept.__getitem__, self.join
-        return [join(map(known, found)) for found in cut]
+        data, begun, edges = cut_up(block, list(self.merges.specials), self.pieces)
+        if not len(data):
+            return self.results(np.zeros(0, dtype=np.int64), edges)
+        places, fresh = self.kept.find(strings(data, begun))
+        if len(fresh):
+            known = len(self.kept)
+            places = np.append(np.arange(known), self.learn(fresh))[places]
+        found = self.results(places, edges)
+        self.kept.make_room(places)
+        return found
 
+    def ends(self, places: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """The number of tokens before each text, and of all."""
+        return np.append(0, np.cumsum(self.kept.sizes[places]))[edges]
 
-class Counter(Pieces):
-    """Numbers of tokens."""
+    def results(self, places: np.ndarray, edges: np.ndarray) -> list:
+        raise NotImplementedError
 
-    join = staticmethod(sum)
 
-    def encode(self, tokens: list[str]) -> list[int]:
-        return self.merges.counts([t.encode("utf-8", "surrogatepass") for t in tokens]).tolist()
+class Counter(Pieces):
+    """Numbers of tokens."""
 
-    def of_special(self, piece: str) -> int:
-        return 1
+    def results(self, places: np.ndarray, edges: np.ndarray) -> list[int]:
+        return np.diff(self.ends(places, edges)).tolist()
 
 
 @lru_cache(maxsize=4)

@@ -1,0 +1,70 @@
+"""Pieces, pre-tokens and their table, against the library."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from tokenizers import Tokenizer
+
+from folioscan.llm import packing, token_counts
+from folioscan.llm.pretokens import Table
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(PATH)
+
+
+def in_bytes(library, texts: list[str]) -> list[bytes]:
+    return [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_word_is_merged_once_whatever_follows_it(library, monkeypatch):
+    """Words with marks, of an earlier block too, take the merges of the words without."""
+    merged = []
+    encode = token_counts.Merges.encode
+    monkeypatch.setattr(
+        token_counts.Merges, "encode", lambda self, *given: merged.append(len(given[-1])) or encode(self, *given)
+    )
+    draw = random.Random(1)
+    words = ["".join(draw.choice("abcdeéß") for _ in range(9)) for _ in range(400)]
+    blocks = [[" ".join(["", *(word + mark for word in words)]) for mark in marks] for marks in (("", ",", "$$$"), (".!!", ":&"))]
+    ids = packing.Ids(PATH)
+    for block in blocks:
+        assert ids.all(block) == in_bytes(library, block)
+    assert sum(merged) <= len(words) + 10
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_odd_characters_are_cut_as_by_the_library(library, seed):
+    draw = random.Random(seed)
+    parts = [*"aX1.!'×÷éßȿɀ²½ª—’日Пا😀\0\x7f", "ing", "'s", "'re", "12", "..", "$$$", "<|endoftext|>", "<|", "é"]
+    white = [[" "], [" ", " ", "\n"], [" ", "\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", " ", "　"]][seed % 3]
+    texts = ["".join(draw.choice(draw.choice([parts, parts, white])) for _ in range(draw.randrange(30))) for _ in range(900)]
+    if seed < 3:
+        texts = [" ".join(text.split()) for text in texts]
+    ids = packing.Ids(PATH)
+    ids.kept.most = draw.choice([2, 500, 200_000])
+    together = draw.choice([300, 1 << 22])
+    want = in_bytes(library, texts)
+    assert ids.all(texts, together=together) == want
+    assert token_counts.Counter(PATH).all(texts, together=together) == [len(x) // 4 for x in want]
+
+
+def test_the_table_is_bounded_and_keeps_what_recurs():
+    table = Table({b"fixed": 7}, most=20)
+    for block in range(30):
+        names = pa.array([b"often", b"often", *(b"%d-%d" % (block, i) for i in range(12))], pa.binary())
+        places, fresh = table.find(names)
+        assert (b"often" in fresh.to_pylist()) == (block == 0)
+        table.add(fresh, np.full(len(fresh), 2), np.arange(2 * len(fresh), dtype="<u4"))
+        table.make_room(places)
+        assert len(table) <= 20
+    places, fresh = table.find(pa.array([b"often", b"fixed"], pa.binary()))
+    assert len(fresh) == 0 and table.of(places).tolist() == [0, 1, 7]
