@@ -190,12 +190,15 @@ class Table:
         if len(self) <= self.most:
             return
         self.uses[: len(self.fixed)] = np.inf
-        kept = np.sort(np.argsort(-self.uses, kind="stable")[: max(self.most // 2, len(self.fixed))])
-        self.names, self.ids = self.names.take(pa.array(kept)), self.of(kept)
-        self.sizes, self.uses = self.sizes[kept], self.uses[kept]
-        self.ends = np.cumsum(self.sizes)
+        self.keep(np.sort(np.argsort(-self.uses, kind="stable")[: max(self.most // 2, len(self.fixed))]))
         self.uses[: len(self.fixed)] = 0
 
+    def keep(self, places: np.ndarray) -> None:
+        """Give up all but what is at some places, which are in order."""
+        self.names, self.ids = self.names.take(pa.array(places)), self.of(places)
+        self.sizes, self.uses = self.sizes[places], self.uses[places]
+        self.ends = np.cumsum(self.sizes)
+
 
 class Kept(dict):
     """Results by piece, at most ``most`` of them, so that a task's memory is bounded.

@@ -244,6 +244,72 @@ def test_agenda_gives_the_ids_of_the_library(vocabulary):
         assert vocabulary.decode(ids) == vocabulary.library.decode(ids)
 
 
+def odd_texts(seed, n):
+    draw = random.Random(seed)
+    parts = ["a", "aa", "b", " ", "  ", "▁", "\n", "é", "日本", "한국", "😀", "\x00", "the", " the", "ing", "0", "12"]
+    parts += ["<s>", "<unk>", "<0x41>", "\u0301", "\r", "xx", "%%%", "----", "Ünï", "\u0f00", "\U000e0001"]
+    return ["".join(draw.choices(parts, k=draw.randint(0, draw.choice([3, 16, 60])))) for _ in range(n)]
+
+
+def is_as_library(vocabulary, texts):
+    ids, ends = vocabulary.encode_all(texts)
+    decoded = vocabulary.decode_all(ids, ends)
+    found = [ids[a:b].tolist() for a, b in zip(ends, ends[1:])]
+    assert found == [vocabulary.library.encode(text) for text in texts]
+    assert decoded == [vocabulary.library.decode(one) for one in found]
+    shown = [hashlib.sha256(",".join(map(str, one)).encode()).hexdigest() for one in found]
+    assert vocabulary.id_digests(ids, ends) == shown
+
+
+def test_new_words_are_merged_together(vocabulary, monkeypatch):
+    """Python works through one agenda at a time for long words only."""
+    draw = random.Random(13)
+    words = ["".join(draw.choices("aeinorsté.&", k=draw.randint(1, 31))) for _ in range(3000)]
+    alone = []
+    merged = vocabulary.merged
+    monkeypatch.setattr(vocabulary, "merged", lambda word: alone.append(word) or merged(word))
+    vocabulary.kept.clear()
+    assert vocabulary.encode(" ".join(words)) == vocabulary.library.encode(" ".join(words))
+    assert alone == []
+    assert vocabulary.encode("onetion" * 20) == vocabulary.library.encode("onetion" * 20)
+    assert len(alone) == 1
+
+
+def test_blocks_of_odd_texts(vocabulary, monkeypatch):
+    for seed in range(6):
+        is_as_library(vocabulary, odd_texts(seed, 300))
+    is_as_library(vocabulary, [])
+    is_as_library(vocabulary, ["", ""])
+    is_as_library(vocabulary, ["", " ", "", "\n", "a" * 31, "a" * 32, "a" * 33, "\u0f00" * 40, ""])
+    monkeypatch.setattr(sentence_pieces, "DECODED", 7)
+    monkeypatch.setattr(sentence_pieces, "MERGED", 3)
+    monkeypatch.setattr(vocabulary.kept, "most", 10)
+    is_as_library(vocabulary, odd_texts(7, 300))
+    vocabulary.check()
+    assert not vocabulary.wrong
+
+
+def test_pairs_that_share_a_hash_are_searched_for(vocabulary, monkeypatch):
+    monkeypatch.setattr(vocabulary.pairs, "place", np.full_like(vocabulary.pairs.place, -1))
+    vocabulary.kept.clear()
+    is_as_library(vocabulary, odd_texts(8, 300))
+
+
+def test_words_unlike_the_library_are_told(monkeypatch):
+    own = sentence_pieces.Vocabulary(MODEL)
+    own.pairs.made[own.pairs.made == own.ids["th"]] = own.pairs.other
+    own.pairs.made[own.pairs.made == own.ids["the"]] = own.pairs.other
+    own.pairs.made[own.pairs.made == own.ids["▁th"]] = own.pairs.other
+    texts = ["some words", "those words", "no  such words", "two  of those", ""]
+    ids, ends = own.encode_all(texts)
+    monkeypatch.setattr(sentence_pieces, "CHECKED", 3)
+    own.check()
+    decoded = own.decode_all(ids, ends)
+    told = [own.as_library(t, ids[a:b], d) for t, a, b, d in zip(texts, ends, ends[1:], decoded)]
+    assert told == [True, False, True, False, True]
+    assert own.wrong == {"▁those"}
+
+
 def test_any_ids_are_decoded_as_by_the_library(vocabulary):
     draw = random.Random(12)
     kinds = [lambda: draw.randrange(32_000), lambda: draw.randrange(262), lambda: draw.choice([0, 1, 2, 259, 28705])]
