@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscan.operators import dedup, families, minhash
-from folioscan.plans import letters
+from folioscan.plans import letters, texts
 from folioscan.session import scratch_path
 from tests.test_versions import frame
 
@@ -103,3 +103,48 @@ def test_bands_carry_no_slots(spark, monkeypatch):
     assert [tuple(r)[:2] for r in minhash.minhash_duplicates(frame(spark, texts)).collect()] == [(2, 30)]
     assert all("further" not in bands.columns for bands in written["bands"])
     assert [sets.count() for sets in written["sets"]] == [2]
+
+
+def test_recall_takes_what_both_tiers_need_from_one_pass(spark, sf_dir, monkeypatch):
+    """Texts are summed up once, and not shuffled for their signatures however many there are."""
+    plans = {}
+    stage = minhash.staged
+
+    def noted(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, name)
+
+    for module in (dedup, minhash):
+        monkeypatch.setattr(module, "staged", noted)
+    monkeypatch.setattr(dedup, "BROADCAST_IDS", 0)
+    want = dedup.near_duplicates(texts.texts(spark, sf_dir)).count()
+    plans.clear()
+    found = texts.minhash_recall(spark, sf_dir).first()
+    assert found["n_exact"] == want > 0
+    assert len(plans["members"]) == len(plans["signatures"]) == 1 and "hashed" not in plans
+    assert "Exchange" not in plans["signatures"][0]
+
+
+def test_further_rounds_carry_only_what_is_left(spark, monkeypatch):
+    """A large bucket of unlike documents is split; documents of other buckets have been compared."""
+    draw = random.Random(11)
+    entries = [(1, i, 1) for i in range(12)] + [(2, i, 1) for i in range(12, 14)]
+    sets = [(i, 80, [draw.getrandbits(62) for _ in range(80)]) for i in range(14)]
+    further = [(i, 1, [draw.getrandbits(62) for _ in range(minhash.FURTHER)]) for i in range(14)]
+    kept = minhash._kept(spark.createDataFrame(entries, "key long, doc_id long, kind int"))
+    bands = spark.createDataFrame(further, "doc_id long, kind int, further array<long>")
+    tables = spark.createDataFrame(sets, "doc_id long, n int, shingles array<long>")
+    sizes = []
+    similar = minhash._similar
+    monkeypatch.setattr(minhash, "_similar", lambda p, s, t: sizes.append(s.count()) or similar(p, s, t))
+    assert minhash.candidates(kept, bands, tables, 0.5, bucket_rows=5).count() == 0
+    assert sizes[0] == 14 and sizes[1:] and max(sizes[1:]) <= 11
+
+
+def test_equal_words_have_one_first_document(spark):
+    """Case and spacing tell no texts apart; other words, and other borders of words, do."""
+    found = ["A\tb  c d E", "\n a b c\x0b d e ", "ab c d e f", "a bc d e f", None, "", "A B C D e"]
+    heads = dedup._members(frame(spark, found), 5)
+    assert sorted((r["doc_id"], r["head"]) for r in heads.collect()) == [(0, 0), (1, 0), (2, 2), (3, 3), (6, 0)]
+    marks = {r["doc_id"]: r["mark"] for r in heads.collect()}
+    assert marks[0] == marks[1] == marks[6] and len(set(marks.values())) == 3
