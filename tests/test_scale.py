@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from folioscan.operators import dedup, families, minhash
 from folioscan.plans import letters, texts
 from folioscan.session import scratch_path
+from folioscan.sources import files
 from tests.test_versions import frame
 
 
@@ -24,6 +25,26 @@ def test_letters_are_read_from_a_bounded_number_of_folders(spark, tmp_path, monk
     assert len(folders) <= letters.FOLDERS + 2
 
 
+def test_a_large_tree_is_read_by_folders(spark, tmp_path, monkeypatch):
+    """The same rows as in one piece, and no more files known to the driver at once than are asked for."""
+    names = [f"{folder}/{i}" for folder in ("a", "b b", "c[1]", "d/e", "d/f+%", "d/ñ{x}", "_k=1") for i in range(3)]
+    names += ["top", "other", "d/direct", "_hidden/1", ".hidden/1", "d/_hidden/2", "_top", "flat/" + "x" * 9]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"{name}.html").write_text(name)
+    (tmp_path / "d" / "note.txt").write_text("no document")
+    whole = sorted(map(tuple, files.read_docs(spark, str(tmp_path)).collect()))
+    assert [row[0] for row in whole] == sorted(name for name in names if "hidden" not in name and name != "_top")
+    known, docs = [], files._docs
+    monkeypatch.setattr(files, "_docs", lambda *a: (lambda df: known.append(len(df.inputFiles())) or df)(docs(*a)))
+    before = {key: spark.conf.get(key) for key in files.BY_FOLDERS}
+    for path in (str(tmp_path), f"file://{tmp_path}/"):
+        known.clear()
+        assert sorted(map(tuple, files.read_docs(spark, path, most=4).collect())) == whole
+        assert len(known) > 5 and max(known) <= 4 and sum(known) == len(whole)
+    assert {key: spark.conf.get(key) for key in files.BY_FOLDERS} == before
+
+
 def kept_sets(spark, monkeypatch, search, texts):
     """How many documents a search orders the shingles of, and its result."""
     sizes = []
